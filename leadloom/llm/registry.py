@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from leadloom.llm.elias_fano import op10_token_files
+from leadloom.llm.media import op6_mpeg_media
+from leadloom.llm.secrets import op5_secret_scan
+from leadloom.llm.simhash import op1_simhash
+from leadloom.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_url_filter": op3_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_mpeg_media": op6_mpeg_media,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+}
