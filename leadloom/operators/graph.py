@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from leadloom.scratch import Scratch
 
+#: So many edges, a few MB, fit into one task's union-find whatever they connect; more take another round.
+FINISH = 100_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
@@ -48,7 +51,7 @@ def _thin(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_forest, edges.schema)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64, finish: int = FINISH) -> DataFrame:
     """(node, root) for every node of ``edges(src, dst)``; root is one node of the component.
 
     Nulls, self loops and repeated edges are ignored; an empty table gives an empty result.  Nodes may be of
@@ -59,7 +62,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     live = scratch.save(_thin(edges), "edges")
     steps: list[DataFrame] = []
     for k in range(max_rounds):
-        if live.isEmpty():
+        left = live.count()
+        if not left:
+            break
+        if left <= finish:
+            steps.append(scratch.save(_thin(live.coalesce(1)).select(F.col("src").alias("node"), F.col("dst").alias("rep")), "step"))
             break
         both = live.union(live.select("dst", "src"))
         rank = lambda c: F.xxhash64(F.lit(k), c)  # noqa: E731, B023
@@ -76,8 +83,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     scratch.drop(live)
     if not steps:
         return edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
-    out = steps[-1].select("node", F.col("rep").alias("root"))
-    for step in reversed(steps[:-1]):
-        later = out.select(F.col("node").alias("rep"), "root")
-        out = step.join(later, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
-    return out
+    out = None
+    for step in reversed(steps):
+        if out is None:
+            out = step.select("node", F.col("rep").alias("root"))
+        else:
+            later = out.select(F.col("node").alias("rep"), "root")
+            out = step.join(later, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+    return out.union(out.select("root", "root")).distinct()  # a root that its last round has left out is its own
