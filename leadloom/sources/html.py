@@ -1,0 +1,255 @@
+"""Parsing of recorded pages: a small document tree on the standard library, and the extractors built on it.
+
+Nothing here fetches anything.  Extractors are Python table functions because HTML has no built-in; they run on
+Arrow batches through ``mapInArrow`` and see one page at a time.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from leadloom import vocab
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_MAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
+_HIDDEN_MAIL = re.compile(r"([A-Za-z0-9._%+\-]+)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*([A-Za-z0-9.\-]+?)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*([A-Za-z]{2,24})", re.I)
+_NAME = re.compile(r"^[A-Z][\w'’.-]*(?: (?:[A-Z][\w'’.-]*|de|van|von|der|la)){1,3}$")
+
+
+class Node:
+    """An element: tag, attributes, children (nodes and strings) and parent."""
+
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+
+    def walk(self) -> Iterator[Node]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def text(self, sep: str = " ") -> str:
+        parts, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                parts.append(node)
+            elif node.tag not in ("script", "style", "noscript", "template"):
+                stack += reversed(node.children)
+        return " ".join(sep.join(parts).split())
+
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").lower().split())
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("#document", {}, None)
+        self.at = self.root
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag):
+        up = self.at
+        while up.parent is not None and up.tag != tag:
+            up = up.parent
+        if up.parent is not None:
+            self.at = up.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def parse(html: str | None) -> Node:
+    builder = _Builder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.root
+
+
+def json_objects(root: Node) -> Iterator[dict]:
+    """Every object of every JSON-LD script, through lists and ``@graph``; broken scripts are skipped."""
+    for node in root.walk():
+        if node.tag == "script" and "ld+json" in node.attrs.get("type", "").lower():
+            try:
+                stack = [json.loads("".join(c for c in node.children if isinstance(c, str)))]
+            except ValueError:
+                continue
+            while stack:
+                item = stack.pop(0)
+                if isinstance(item, list):
+                    stack = item + stack
+                elif isinstance(item, dict):
+                    yield item
+                    stack = [v for k, v in item.items() if k in ("@graph", "employee", "employees", "founder", "member", "itemListElement", "item") and isinstance(v, (list, dict))] + stack
+
+
+def _is_type(item: dict, name: str) -> bool:
+    kind = item.get("@type")
+    return name in (kind if isinstance(kind, list) else [kind])
+
+
+def _text(value) -> str | None:
+    if isinstance(value, list):
+        value = value[0] if value else None
+    if isinstance(value, dict):
+        value = value.get("name") or value.get("url")
+    return " ".join(entities.unescape(str(value)).split()) or None if value not in (None, "") else None
+
+
+def _place(value) -> str | None:
+    value = value[0] if isinstance(value, list) and value else value
+    address = value.get("address", value) if isinstance(value, dict) else value
+    if isinstance(address, dict):
+        parts = [_text(address.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
+        return ", ".join(p for p in parts if p) or None
+    return _text(address)
+
+
+def postings(html: str | None) -> list[dict]:
+    """Job postings that a page states as JSON-LD: title, company, site, place, date, type, text and link."""
+    out = []
+    for item in json_objects(parse(html)):
+        if _is_type(item, "JobPosting"):
+            org = item.get("hiringOrganization") or {}
+            org = org[0] if isinstance(org, list) and org else org
+            ident = item.get("identifier")
+            out.append({
+                "external_id": _text(ident.get("value")) if isinstance(ident, dict) else _text(ident), "title": _text(item.get("title")), "company_name": _text(org),
+                "company_website": _text(org.get("sameAs") or org.get("url")) if isinstance(org, dict) else None, "location": _place(item.get("jobLocation")), "posted_at": _text(item.get("datePosted")),
+                "employment_type": _text(item.get("employmentType")), "description": parse(str(item.get("description") or "")).text() or None, "application_url": _text(item.get("url")),
+            })
+    return out
+
+
+def emails(html: str | None) -> list[str]:
+    """Addresses of a page in order: links, data attributes, visible text, and bracketed ``[at]`` forms."""
+    root, found = parse(html), []
+    for node in root.walk():
+        href = node.attrs.get("href", "")
+        if href.lower().startswith("mailto:"):
+            found.append(unquote(href[7:].split("?")[0]))
+        found += [unquote(node.attrs[a]) for a in ("data-email", "data-mail") if node.attrs.get(a)]
+    text = root.text()
+    found += _MAIL.findall(text) + [f"{a}@{b}.{c}" for a, b, c in _HIDDEN_MAIL.findall(text)]
+    tidy = (m[0].lower().rstrip(".,;:)") for e in found if (m := _MAIL.search(e)))
+    return list(dict.fromkeys(e for e in tidy if not re.search(r"\.(?:png|jpg|gif|webp|svg)$", e)))
+
+
+def _tier(title: str | None) -> int | None:
+    """The title tier of functions.text.title_tier, for use inside a worker."""
+    text = re.sub(r"[^a-z0-9]+", " ", (title or "").lower().replace("&", " and ")).strip()
+    text = re.sub(r"\b(?:vice president|svp|evp)\b", "vp", text)
+    words = lambda phrases: r"\b(?:" + "|".join(map(re.escape, phrases)) + r")\b"
+    if re.search(words(vocab.TITLE_EXCLUSIONS), text):
+        return None
+    return next((n for n, phrases in vocab.TITLE_TIERS.items() if re.search(words(phrases), re.sub(vocab.QUALIFIED_PRESIDENT, " ", text) if n == 1 else text)), None)
+
+
+def _own_mail(node: Node) -> str | None:
+    for sub in node.walk():
+        if sub.attrs.get("href", "").lower().startswith("mailto:"):
+            return unquote(sub.attrs["href"][7:].split("?")[0]).lower()
+    return (m[0].lower() if (m := _MAIL.search(node.text())) else None)
+
+
+def contacts(html: str | None, people_page: bool = True) -> list[dict]:
+    """People of a page: JSON-LD persons, microformats, staff table rows, mailto blocks and, on people pages, name and title lines.
+
+    Sightings of one name merge; the one with a tier wins and the other only fills in an address.
+    """
+    root, seen = parse(html), []
+    add = lambda name, title, mail, method: seen.append({"name": " ".join((name or "").split()), "title": " ".join((title or "").split()) or None, "email": mail, "method": method})
+    for item in json_objects(root):
+        if _is_type(item, "Person") and _text(item.get("name")):
+            mail = _text(item.get("email"))
+            add(_text(item.get("name")), _text(item.get("jobTitle")), mail.lower().removeprefix("mailto:") if mail else None, "STRUCTURED")
+    for node in root.walk():
+        if node.classes() & {"h-card", "vcard"} or "schema.org/person" in node.attrs.get("itemtype", "").lower():
+            part = lambda *names: next((n.text() for n in node.walk() if n.classes() & set(names) or n.attrs.get("itemprop", "").lower() in names), None)  # noqa: E731, B023
+            add(part("p-name", "fn", "name"), part("p-job-title", "title", "role", "jobtitle"), _own_mail(node), "MICROFORMAT")
+        elif node.tag == "tr":
+            cells = [c.text() for c in node.children if isinstance(c, Node) and c.tag == "td"]
+            mail = _own_mail(node)
+            named = [c for c in cells if _NAME.match(c) and not _tier(c)]
+            if mail and named:
+                others = [c for c in cells if c != named[0] and "@" not in c and len(c) > 1]
+                add(named[0], next((c for c in others if _tier(c)), next(iter(others), None)), mail, "TABLE")
+        elif node.tag == "a" and node.attrs.get("href", "").lower().startswith("mailto:"):
+            block = node
+            for _ in range(4):
+                block = block.parent or block
+                lines = [c.text() for c in block.walk() if c.tag in ("h1", "h2", "h3", "h4", "h5", "p", "span", "strong", "b", "li", "div") and c.text()]
+                name = next((x for x in lines if _NAME.match(x) and not _tier(x)), None)
+                if name and block.tag != "tr":
+                    add(name, next((x for x in lines if _tier(x) and len(x) < 80), None), unquote(node.attrs["href"][7:].split("?")[0]).lower(), "BLOCK")
+                    break
+    if people_page:
+        lines = [n.text() for n in root.walk() if n.tag in ("h2", "h3", "h4", "h5", "p", "span", "strong", "div", "li") and not any(isinstance(c, Node) and c.tag in ("div", "p", "ul", "li", "h2", "h3", "h4") for c in n.children)]
+        for a, b in zip(lines, lines[1:], strict=False):
+            if _NAME.match(a) and not _tier(a) and len(b) < 80 and _tier(b):
+                add(a, b, None, "TEXT")
+    best: dict[str, dict] = {}
+    for row in seen:
+        if not _NAME.match(row["name"]):
+            continue
+        row["priority"] = _tier(row["title"])
+        old = best.get(row["name"].lower())
+        if old is None or (old["priority"] is None and row["priority"] is not None):
+            best[row["name"].lower()] = row | {"email": row["email"] or (old or {}).get("email")}
+        elif not old["email"]:
+            old["email"] = row["email"]
+    return list(best.values())
+
+
+def visible_text(html: str | None) -> str:
+    return parse(html).text()
+
+
+_POSTING = ["external_id", "title", "company_name", "company_website", "location", "posted_at", "employment_type", "description", "application_url"]
+
+
+def _spread(pages: DataFrame, make, columns: dict[str, pa.DataType], key: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, i, r) for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, r in enumerate(make(page))]
+            data = {key: pa.array([k for k, _, _ in out], batch.schema.field(0).type), "position": pa.array([i for _, i, _ in out], pa.int32())}
+            yield pa.record_batch(data | {c: pa.array([r[c] for _, _, r in out], kind) for c, kind in columns.items()})
+
+    kinds = {pa.string(): "string", pa.int32(): "int"}
+    schema = f"{key} {pages.schema[key].dataType.simpleString()}, position int, " + ", ".join(f"{c} {kinds[t]}" for c, t in columns.items())
+    return pages.select(key, "html").mapInArrow(rows, schema)
+
+
+def postings_of_pages(pages: DataFrame, key: str = "url") -> DataFrame:
+    """(key, position, posting columns): the postings of ``pages(key, html)``; null and broken pages give none."""
+    return _spread(pages, postings, {c: pa.string() for c in _POSTING}, key)
+
+
+def contacts_of_pages(pages: DataFrame, key: str = "url") -> DataFrame:
+    """(key, position, name, title, email, method, priority) of every person on ``pages(key, html)``."""
+    return _spread(pages, contacts, {"name": pa.string(), "title": pa.string(), "email": pa.string(), "method": pa.string(), "priority": pa.int32()}, key)
+
+
+def emails_of_pages(pages: DataFrame, key: str = "url") -> DataFrame:
+    """(key, position, email) of every address on ``pages(key, html)``."""
+    return _spread(pages, lambda h: [{"email": e} for e in emails(h)], {"email": pa.string()}, key)
