@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from leadloom import vocab
+from leadloom.functions.base import let
 
 SPACE = r"(?U)\s+"
 _TAIL = r"(?U)[\s,.\-–—/|]+$"
@@ -118,11 +119,37 @@ def person_key(c: Column) -> Column:
 
 
 def name_tokens(c: Column) -> Column:
-    return F.filter(F.split(normalize_company_name(c), " "), lambda w: F.length(w) > 0)
+    """Telling words of a company name: longer than two letters and not a usual business word."""
+    return F.filter(F.split(normalize_company_name(c), " "), lambda w: (F.length(w) > 2) & ~w.isin(vocab.NAME_NOISE))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Share of words in common over the longer name, to two places."""
-    x, y = F.array_distinct(name_tokens(a)), F.array_distinct(name_tokens(b))
-    longest = F.greatest(F.size(x), F.size(y))
-    return F.when(longest > 0, F.bround(F.size(F.array_intersect(x, y)) / longest, 2)).otherwise(F.lit(0.0))
+    """Share of telling words in common over the shorter name, to two places; 1 where the names differ only in blanks."""
+
+    def compare(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        shared = F.size(F.array_intersect(x, y)) / F.least(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
+        empty = (F.size(x) == 0) | (F.size(y) == 0)
+        return F.when(empty, F.lit(0.0)).when(F.array_join(x, "") == F.array_join(y, ""), F.lit(1.0)).otherwise(F.bround(shared, 2))
+
+    return let(F.struct(name_tokens(a).alias("x"), name_tokens(b).alias("y")), compare)
+
+
+def name_domain_affinity(name: Column, root: Column) -> Column:
+    """How much of a company name a domain's label accounts for: 1 equal, 0.9 a prefix either way, else the share of words in it, 0.7 for initials."""
+
+    def compare(p: Column) -> Column:
+        label, words = p["label"], p["words"]
+        joined = F.array_join(words, "")
+        inside = F.bround(F.size(F.filter(words, lambda w: label.contains(w))) / F.size(words), 2)
+        initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+        return (
+            F.when((label == "") | (F.size(words) == 0), F.lit(0.0))
+            .when(label == joined, F.lit(1.0))
+            .when(joined.startswith(label) | label.startswith(joined), F.lit(0.9))
+            .when((inside == 0) & (F.size(words) >= 2) & (label == initials), F.lit(0.7))
+            .otherwise(inside)
+        )
+
+    label = F.regexp_replace(F.lower(F.substring_index(root, ".", 1)), "[^a-z0-9]", "")
+    return let(F.struct(label.alias("label"), name_tokens(name).alias("words")), compare)

@@ -90,14 +90,18 @@ def ats_to_raw(rows: DataFrame, portal: str) -> DataFrame:
     )
 
 
+def visible(html: Column) -> Column:
+    """Text outside tags, scripts and styles, with blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>|\s+", " "))
+
+
 def blocked_page(html: Column, status: Column, title: Column) -> Column:
     """Whether a page is an access wall: by status, strong marks near its start, or weak marks on a nearly empty page."""
     head = F.lower(F.substring(html, 1, 4000))
-    visible = F.length(F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>|\s+", " ")))
     strong = head.rlike("captcha|cf-challenge|access denied|are you a robot|unusual traffic|perimeterx|datadome")
     weak = F.lower(F.coalesce(title, F.lit(""))).rlike("just a moment|attention required|blocked|forbidden|verify")
     data = html.rlike(r"^\s*(?:\{|\[|<\?xml)")
-    return F.coalesce(status.isin(401, 403, 429, 503), F.lit(False)) | (~data & (strong | (weak & (visible < 500))))
+    return F.coalesce(status.isin(401, 403, 429, 503), F.lit(False)) | (~data & (strong | (weak & (F.length(visible(html)) < 500))))
 
 
 def applicant_count(page: Column) -> Column:

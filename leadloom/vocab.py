@@ -51,6 +51,9 @@ LEGAL_SUFFIXES = [
     "sas", "bv", "nv", "oy", "ab", "as", "s.r.o", "s.p.a", "srl", "kg", "kk",
 ]
 
+# Business words that don't tell companies apart.
+NAME_NOISE = ["inc", "llc", "ltd", "corp", "corporation", "company", "co", "group", "holdings", "enterprises", "industries", "services", "solutions", "international", "usa", "us", "the", "and", "of"]
+
 # Shared mailboxes.
 ROLE_LOCALS = [
     "info", "contact", "hello", "support", "sales", "admin", "office", "help", "team", "careers", "jobs", "hr", "recruiting", "noreply", "no-reply",

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from leadloom.plans import more_queries  # noqa: F401 registers its queries
 from leadloom.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
