@@ -22,10 +22,13 @@ from leadloom.llm.common import table
 
 #: Hashed dimensions, labelled rows a language that centroids are fitted on, centroids a language, languages at most.
 DIMENSIONS, SAMPLE, CENTROIDS, LANGUAGES = 8192, 400, 3, 200
-#: A text is rejected below this share of the least cosine that sampled texts of its length class have had.
-SLACK = 0.6
+#: A text is rejected below this share of the least cosine that sampled texts of its length class have had; short
+#: texts, below 2 ** SHORT n-grams, vary much more and need to lie further off.
+SLACK, SHORT_SLACK, SHORT = 0.6, 0.25, 10
+#: Floors above this are cut to it: few sampled texts of a length class say little about how far others may lie.
+HIGHEST_FLOOR = 0.5
 _GAP = re.compile(r"[\W\d_]+")
-_SHORT = 24  # length classes: log2 of the number of 2-grams, at most this
+_CLASSES = 24  # length classes: log2 of the number of n-grams, at most this
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +75,13 @@ class Model:
                 out.append(("und", 0.0, True))
                 continue
             score = float(min(1.0, max(0.0, cosine[i, best[i]])))
-            out.append((self.langs[best[i]], score, score < SLACK * self.floor[length_class(rows[i][1])]))
+            size = length_class(rows[i][1])
+            out.append((self.langs[best[i]], score, score < (SHORT_SLACK if size <= SHORT else SLACK) * self.floor[size]))
         return out
 
 
 def length_class(n: np.ndarray) -> int:
-    return min(_SHORT, int(n.sum()).bit_length())
+    return min(_CLASSES, int(n.sum()).bit_length())
 
 
 def weigh(dims: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -144,7 +148,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         for r in chosen.select("lang", "text").mapInArrow(_sample_counts, "lang string, dims binary, n binary").collect():
             if r.dims:
                 rows.setdefault(r.lang, []).append((np.frombuffer(r.dims, "<u2").astype(np.int64), np.frombuffer(r.n, "<u4").astype(np.int64)))
-    centroids, langs, floor = [], [], np.ones(_SHORT + 1)
+    centroids, langs, floor = [], [], np.ones(_CLASSES + 1)
     for lang, found in sorted(rows.items()):
         x = np.stack([weigh(d, n, idf) for d, n in sorted(found, key=lambda f: (len(f[0]), f[0].tobytes(), f[1].tobytes()))])
         c = spherical_kmeans(x, CENTROIDS)
@@ -158,6 +162,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         floor[known[-1] :] = floor[known[-1]]  # longer than any sampled text: as the longest
         floor = np.minimum.accumulate(floor[::-1])[::-1].copy()  # shorter texts may lie as far away as longer ones
         floor[: known[0]] = 0  # shorter than any sampled text: not rejected
+        floor = np.minimum(floor, HIGHEST_FLOOR)
     return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), langs, floor)
 
 
