@@ -54,8 +54,7 @@ class Engine:
         out.stages["normalized"], out.screened = normalize.screen(scratch.save(normalize.normalize(raw), "normalized"))
         if stop_at == "after_normalize":
             return out
-        kept, out.duplicates = dedupe.dedupe(out.stages["normalized"])
-        out.stages["kept"] = scratch.save(kept, "kept")
+        out.stages["kept"], out.duplicates = dedupe.dedupe(out.stages["normalized"], scratch)
         if stop_at == "after_dedupe":
             return out
         aged = normalize.freshen(out.stages["kept"], now, self.settings.freshness_max_days)

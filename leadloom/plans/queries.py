@@ -145,18 +145,18 @@ def _scope(spark, sf):
 
 @query("dedupe_same_source", CTES + DEDUPE + " SELECT best AS kept_ord, count(*) AS copies FROM same GROUP BY 1")
 def dedupe_same_source(spark, sf):
-    rows = dedupe.same_source(_scope(spark, sf))
+    rows = dedupe.same_source(Scratch(spark, "dedupe").save(_scope(spark, sf), "postings"))
     return rows.groupBy(F.coalesce("dup_of", "ord").alias("kept_ord")).agg(F.count("*").alias("copies"))
 
 
 @query("dedupe_cross_post", CTES + DEDUPE + " SELECT ord, company_name_normalized, title_normalized, source_site FROM kept")
 def dedupe_cross_post(spark, sf):
-    return dedupe.dedupe(_scope(spark, sf))[0].select("ord", "company_name_normalized", "title_normalized", "source_site")
+    return dedupe.dedupe(_scope(spark, sf), Scratch(spark, "dedupe"))[0].select("ord", "company_name_normalized", "title_normalized", "source_site")
 
 
 @query("dedupe_audit", CTES + DEDUPE + " SELECT ord AS dup_ord, best AS kept_ord, 'SAME_SOURCE_ID' AS reason FROM same WHERE best <> ord UNION ALL SELECT ord, head, 'CROSS_POSTED' FROM cross_ WHERE NOT winner")
 def dedupe_audit(spark, sf):
-    return dedupe.dedupe(_scope(spark, sf))[1]
+    return dedupe.dedupe(_scope(spark, sf), Scratch(spark, "dedupe"))[1]
 
 
 @query("first_seen", CTES + " SELECT min(ord) AS ord, source_site FROM postings GROUP BY source_site, coalesce(external_id, application_url)")
@@ -169,7 +169,8 @@ def first_seen(spark, sf):
 
 def identified(spark: SparkSession, sf: str) -> DataFrame:
     """Fresh, kept postings with their company."""
-    fresh = normalize.freshen(_scope(spark, sf), now()).where("fresh_keep")
+    kept = dedupe.dedupe(_scope(spark, sf), Scratch(spark, "dedupe"))[0]
+    fresh = normalize.freshen(kept, now()).where("fresh_keep")
     return identity.identify(fresh, Scratch(spark, "identity"))[0]
 
 

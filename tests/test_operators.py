@@ -55,7 +55,7 @@ def test_end_to_end_universe(spark):
 
 
 def kept(spark, jobs):
-    rows, lost = dedupe.dedupe(normalize.normalize(frame(spark, jobs)))
+    rows, lost = dedupe.dedupe(normalize.normalize(frame(spark, jobs)), Scratch(spark, "dedupe"))
     return {r.ord: r for r in rows.collect()}, {(r.dup_ord, r.kept_ord, r.reason) for r in lost.collect()}
 
 
