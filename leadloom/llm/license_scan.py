@@ -5,8 +5,8 @@ hit's diagonal is its position in the text minus its position in the template; h
 an inserted or missing word only shifts it a little.  Hits are verified word by word where the join finds them,
 counted by diagonal, and neighbouring diagonals are merged into spans that must cover enough of their template.
 
-Words never leave the row before a hit is found: hits carry a row number, not a text.  The template table has a
-fixed size, so the planner broadcasts it; a larger one would be shuffled by hash and split where a hash is hot.
+Words never leave the row before a hit is found: hits carry a row number, not a text.  Templates are the few hundred
+grams fixed below and are broadcast, so grams without a hit are never shuffled.
 """
 
 from __future__ import annotations
@@ -49,13 +49,11 @@ def words_of(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
-    """(hash, gram, template, label, kind, tpos, grams): each k-gram of each phrase and template."""
-    rows = []
-    for number, (text, label, kind) in enumerate([(*p, "base") for p in PHRASES] + [(*t, "method") for t in TEMPLATES]):
-        words = text.split()
-        grams = [words[i : i + k] for i in range(len(words) - k + 1)]
-        rows += [(g, number, label, kind, i, len(grams)) for i, g in enumerate(grams)]
-    made = spark.createDataFrame(rows, "gram array<string>, template int, label string, kind string, tpos int, grams int")
+    """(hash, gram, template, label, kind, tpos, grams): each k-gram of each phrase and template, in a local relation of known size."""
+    rows = ", ".join(f"({n}, '{text}', '{label}', '{kind}')" for n, (text, label, kind) in enumerate([(*p, "base") for p in PHRASES] + [(*t, "method") for t in TEMPLATES]))
+    made = spark.sql(f"SELECT template, label, kind, split(text, ' ') AS w FROM VALUES {rows} AS t(template, text, label, kind)")
+    grams = F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> slice(w, i, {k}))")
+    made = made.select("template", "label", "kind", F.size(grams).alias("grams"), F.posexplode(grams).alias("tpos", "gram"))
     return made.select(F.xxhash64(*(F.col("gram")[i] for i in range(k))).alias("hash"), "*")
 
 
@@ -68,7 +66,7 @@ def license_spans(docs: DataFrame, k: int = K) -> DataFrame:
     args = ", ".join(f"words[i + {j}]" for j in range(k))
     hashes = F.expr(f"IF(n_words >= {k}, transform(sequence(0, CAST(n_words AS INT) - {k}), i -> xxhash64({args})), array())")
     grams = words.select("row", "doc_id", "n_words", "words", F.posexplode_outer(hashes).alias("pos", "hash"))
-    hits = grams.join(template_grams(docs.sparkSession, k), "hash", "left")
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, k)), "hash", "left")  # a few hundred fixed rows
     same = F.expr("slice(words, pos + 1, size(gram)) = gram")
     seen = hits.select("row", "doc_id", "n_words", "pos", F.when(same, F.struct("kind", "label", "template", "tpos", "grams")).alias("h")).where("h is not null or coalesce(pos, 0) = 0")
     diagonals = seen.groupBy("row", "h.template", (F.col("pos") - F.col("h.tpos")).alias("diagonal")).agg(
