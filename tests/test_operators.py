@@ -72,7 +72,7 @@ def test_dedupe_scenarios(spark):
     assert len(kept(spark, [job(0, title="Welder"), job(1, title="Machinist", source_site="talent_com")])[0]) == 2
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["Acme", "Bolt"]), st.sampled_from(["1", "2", None]), st.sampled_from(["https://a.com", "https://b.com", None]), st.booleans()), max_size=14))
 def test_dedupe_keeps_or_records_every_row(spark, rows):
     jobs = [job(i, company, "Welder", source_site=site, external_id=eid, company_website=web, posted_at=NOW if dated else None) for i, (site, company, eid, web, dated) in enumerate(rows)]
@@ -149,7 +149,7 @@ def whole(jobs):
     return sorted(map(sorted, out.values()))
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["", "", "a.com", "b.com"]), st.booleans(), st.sampled_from("xyz"), st.sampled_from([None, "OH", "TX"]), st.sets(st.sampled_from(["l:1", "l:2", "i:1"]), max_size=2)), min_size=1, max_size=12))
 def test_blocks_equal_the_whole(spark, rows):
     jobs = [{"ord": i, "domain": d, "web": w, "name": n, "state": s, "ids": sorted(ids)} for i, (d, w, n, s, ids) in enumerate(rows)]
