@@ -237,7 +237,7 @@ def pack(docs: DataFrame, path: str, end_id: int, scratch: Scratch, length: int
     plan = Plan(histogram, length)
     shared = docs.sparkSession.sparkContext.broadcast(plan.places())
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
-    ranked = pieces.join(by_task.select("length", "task", before.alias("before")), ["length", "task"])
+    ranked = pieces.join(by_task.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"])  # grows with the tasks
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("task_rank")).alias("rank"))
     return ranked.mapInArrow(_placer(shared), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
