@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,9 @@ def index_rules(spark: SparkSession, rules: list[Rule]) -> DataFrame:
         raise ValueError(f"rules without a literal token can't be indexed: {bare}")
     shared = Counter(t for r in rules for t in set(r.tokens))
     rows = [(min(r.tokens, key=lambda t: (shared[t], -len(t), t)), r.name, r.verdict, r.pattern, r.rank) for r in rules]
-    return spark.createDataFrame(rows, "token string, name string, verdict string, pattern string, rank int")
+    kinds = {"token": pa.string(), "name": pa.string(), "verdict": pa.string(), "pattern": pa.string(), "rank": pa.int32()}
+    # an Arrow table becomes a local relation, whose size the planner knows
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds.items())}))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
