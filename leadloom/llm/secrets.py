@@ -2,13 +2,16 @@
 
 Three fixed patterns give base spans.  Besides, every string of 16 or more token characters that stands in a
 sensitive context (quoted, assigned or passed near a word such as ``key`` or ``auth``) is a candidate.  A
-candidate's novelty is the marginal number of compressed bytes that it adds to the text before it, where the
+candidate's novelty is the marginal number of compressed bytes that it adds to the text around it, where the
 compressor is primed with a dictionary of code words and identifiers, as a share of what its alphabet could
 carry.  Words, identifiers, repeated paths and repeats of surrounding text compress well; random strings don't.
+Copies of a candidate in a sensitive context or a base span, and all after it, do not count as its surroundings,
+so that a repeated secret is found; where one is found, every occurrence in the text is reported.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -34,7 +37,7 @@ SENSITIVE = re.compile(
 )
 #: Candidates mix letters and digits; long words of any language don't.
 MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
-#: Share of the alphabet's capacity from which a candidate counts as incompressible, and text before it that is compressed along.
+#: Share of the alphabet's capacity from which a candidate counts as incompressible, and text on either side that is compressed along.
 NOVELTY, CONTEXT_CHARS = 0.8, 256
 
 #: Code words and identifiers that prime the compressor.
@@ -96,16 +99,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _candidates(text: str) -> list[tuple[int, int]]:
+    return [m.span(1) for m in SENSITIVE.finditer(text) if MIXED.search(m[1])]
+
+
+def _around(text: str, a: int, b: int, known: list[tuple[int, int]], widest: int) -> tuple[str, str]:
+    """Text before and after a candidate without its other copies; before it, only those in known spans count as copies."""
+    word, lo = text[a:b], max(0, a - CONTEXT_CHARS)
+    before, at = [], lo
+    for s, e in known[bisect.bisect_left(known, (lo - widest, 0)) : bisect.bisect_left(known, (a, 0))]:
+        s, e = max(s, at), min(e, a)
+        if s < e:
+            before += [text[at:s], text[s:e].replace(word, " ")]
+            at = e
+    return "".join(before) + text[at:a], text[b : b + CONTEXT_CHARS + len(word)].replace(word, " ")[:CONTEXT_CHARS]
+
+
+def _occurrences(text: str, word: str) -> Iterator[tuple[int, int]]:
+    a = text.find(word)
+    while a >= 0:
+        b = a + len(word)
+        if not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+            yield a, b
+        a = text.find(word, b)
+
+
+def _novel(text: str, a: int, b: int, known: list[tuple[int, int]], widest: int) -> bool:
+    before, after = _around(text, a, b, known, widest)
+    return novelty(before, text[a:b], after) >= NOVELTY
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings in sensitive context that no base span covers."""
-    found = []
-    for m in SENSITIVE.finditer(text):
-        a, b = m.span(1)
-        if any(s <= a and b <= e for s, _, e in base) or not MIXED.search(m[1]):
-            continue
-        if novelty(text[max(0, a - CONTEXT_CHARS) : a], m[1], text[b : b + CONTEXT_CHARS]) >= NOVELTY:
-            found.append((a, 3, b))
-    return found
+    """Every occurrence, outside base spans, of strings that are incompressible in some sensitive context."""
+    spans = _candidates(text)
+    known = sorted({*spans, *((s, e) for s, _, e in base)})
+    widest = max((e - s for s, e in known), default=0)
+    found: set[str] = set()
+    for a, b in spans:
+        word = text[a:b]
+        if word not in found and not any(s <= a and b <= e for s, _, e in base) and _novel(text, a, b, known, widest):
+            found.add(word)
+    out = {(a, 3, b) for word in found for a, b in _occurrences(text, word)}
+    out |= {(a, 3, b) for a, b in spans if text[a:b] in found}
+    return sorted(x for x in out if not any(s <= x[0] and x[2] <= e for s, _, e in base))
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -47,3 +47,14 @@ def test_rows_and_redaction(docs, edge, nothing, spark):
     secret = spark.createDataFrame([(1, 'x token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" y', 0), (2, None, 7)], "doc_id int, text string, n_chars int")
     out = {r.doc_id: r for r in sc.redact_secrets(secret).collect()}
     assert out[1].text == 'x <secret>" y' and out[1].n_chars == len(out[1].text) and out[2].text is None
+
+
+def test_repeated_secrets_are_found_at_every_occurrence():
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for length in (20, 32, 48, 64):
+        key = "Q7" + "".join(rng.choices(alphabet, k=length))
+        for text in (f"auth: {key}\nauth: {key}\n", f"a line\nauth: {key}\n" * 5, f"auth: {key} and then {key} again", f"token = {key}\nauth: {key}"):
+            every = sc.scan(text)[1]
+            assert len(every) == text.count(key) and all(text[:b].endswith(key) for _, _, b in every)
+            assert key not in sc.redact(text)
