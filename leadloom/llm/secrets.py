@@ -30,10 +30,13 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: A candidate for the method: token characters after a sensitive word and an assignment, call or header mark.
+_WORDS = r"(?i:authorization|bearer|auth|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session|cookie|pwd|pass|secret|token|key|passwort|clave|motdepasse)"
+#: A candidate for the method: token characters after a sensitive word and an assignment, call or header mark.  The
+#: word may be a part of an identifier, of whose rest 64 characters at most follow it; then something must part the
+#: two.  Dots stand inside a candidate only.
 SENSITIVE = re.compile(
-    r"""(?i:\b(?:authorization|bearer|auth|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|signing[_-]?key|session|cookie|pwd|pass|secret|token|key|passwort|clave|motdepasse)\b)"""
-    r"""["'\])]{0,2}[ \t]{0,4}(?:[:=(]|=>|:=|\bis\b)?[ \t]{0,4}["'(]?([A-Za-z0-9+/_=-]{16,})"""
+    rf"""(?=[ABCKMPSTabckmpst\u017f\u212a])(?:{_WORDS}[A-Za-z0-9_-]{{0,64}}+(?=["'\])\x20\t:=(])["'\])]{{0,2}}[ \t]{{0,4}}(?:=>|:=|[:=(]|\bis\b)?[ \t]{{0,4}}["'(]?|\b{_WORDS}\b)"""
+    r"""(?=[A-Za-z0-9+/_.=-]{16})([A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*)"""
 )
 #: Candidates mix letters and digits; long words of any language don't.
 MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
@@ -79,7 +82,7 @@ def _bits(chars: str) -> float:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", chars):
         size = 16
     else:
-        size += 10 * bool(re.search("[0-9]", chars)) + 26 * bool(re.search("[a-z]", chars)) + 26 * bool(re.search("[A-Z]", chars)) + 2 * bool(re.search("[+/_=-]", chars))
+        size += 10 * bool(re.search("[0-9]", chars)) + 26 * bool(re.search("[a-z]", chars)) + 26 * bool(re.search("[A-Z]", chars)) + 2 * bool(re.search("[+/_.=-]", chars))
     return math.log2(max(2, size))
 
 
@@ -100,7 +103,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span(1) for m in SENSITIVE.finditer(text) if MIXED.search(m[1])]
+    out, at = set(), 0
+    while m := SENSITIVE.search(text, at):
+        at = m.start(1)  # a candidate may hold the word of the next one
+        if len(m[1]) >= 16 and MIXED.search(m[1]):
+            out.add(m.span(1))
+    return sorted(out)
 
 
 def _around(text: str, a: int, b: int, known: list[tuple[int, int]], widest: int) -> tuple[str, str]:
@@ -141,7 +149,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             found.add(word)
     out = {(a, 3, b) for word in found for a, b in _occurrences(text, word)}
     out |= {(a, 3, b) for a, b in spans if text[a:b] in found}
-    return sorted(x for x in out if not any(s <= x[0] and x[2] <= e for s, _, e in base))
+    return sorted(x for x in out if not any(s <= x[0] and x[2] <= e for s, _, e in base) and not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in out))
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

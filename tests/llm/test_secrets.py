@@ -58,3 +58,40 @@ def test_repeated_secrets_are_found_at_every_occurrence():
             every = sc.scan(text)[1]
             assert len(every) == text.count(key) and all(text[:b].endswith(key) for _, _, b in every)
             assert key not in sc.redact(text)
+
+
+FORMS = (
+    ("AWS_SECRET_ACCESS_KEY={}", 40),
+    ('aws_secret_access_key = "{}"', 40),
+    ("JWT_SIGNING_KEY: {}", 48),
+    ("db_pass={}", 24),
+    ('secretKey: "{}"', 32),
+    ('"dbPassphrase": "{}"', 32),
+    ("auth AWS_SESSION_KEY={}", 40),
+    ("session = use(cookie_for_v2, authKey='{}')", 40),
+    ("key={}.", 32),
+)
+
+
+def test_words_inside_identifiers():
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for form, length in FORMS:
+        for _ in range(10):
+            key = "".join(rng.choices(alphabet, k=length - 2)) + "a7"
+            assert key not in sc.redact(form.format(key)), form
+    for plain in ("monkey_house = default_configuration_handler_2", "the key is on page 12 of internationalization.", "secret_name: client.session.token.handler.v1"):
+        assert sc.scan(plain)[1] == sc.base_spans(plain), plain
+
+
+def test_whole_bearer_tokens_are_spans():
+    rng = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    for _ in range(20):
+        parts = ["".join(rng.choices(alphabet, k=k)) + "x1" for k in (34, 60, 41)]
+        out = sc.redact(f"curl -H 'Authorization: Bearer {'.'.join(parts)}' https://x.example/")
+        assert out == "curl -H 'Authorization: Bearer <secret>' https://x.example/"
+
+
+def test_long_identifiers_take_linear_time():
+    assert sc.scan("key" * 200_000)[1] == [] and sc.scan("x" * 500_000 + "_key")[1] == []
