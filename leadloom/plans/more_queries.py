@@ -148,6 +148,13 @@ def page_emails(spark, sf):
     return html.emails_of_pages(rows, "page_id")
 
 
+@query("page_addresses")
+def page_addresses(spark, sf):
+    """Addresses of every page as it is; a page without any has one row of nulls."""
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id").join(html.emails_of_pages(pages, "page_id"), "page_id", "left")
+
+
 @query("page_postings", f"SELECT page_id, 'Welder' AS title, 'Acme' AS company_name, 'Toledo, OH' AS location, {sql_root(lit('acme.com'))} AS root FROM pages")
 def page_postings(spark, sf):
     from leadloom.functions import url
