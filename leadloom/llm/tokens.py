@@ -2,8 +2,9 @@
 
 Both vocabularies split a text at white space before any merge is applied, so the ids of a text are the ids
 of its words laid end to end.  A worker therefore encodes each distinct word once with the library and looks
-up the rest.  Texts that hold white space beyond blank, line feed, tab and carriage return go to the library
-whole.  ``tests/llm/test_tokens.py`` compares both ways text by text.
+up the rest.  Texts that hold white space beyond blank, line feed, tab and carriage return, or the content of one
+of the vocabulary's added tokens, go to the library whole.  ``tests/llm/test_tokens.py`` compares both ways text
+by text with an untouched ``Tokenizer.from_file``.
 """
 
 from __future__ import annotations
@@ -63,7 +64,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if t.content]
+        self.folded = [t.content.lower() for t in added if t.content and t.normalized]  # these match normalised text
         self.byte_level = self.tokenizer.normalizer is None
         self.tokenize = self.tokenizer.model.tokenize
         self.words = _Cache(self._word)
@@ -99,6 +102,8 @@ class Encoder:
             return b""
         if not text.replace("\n", " ").isprintable() and _ODD_SPACE.search(text):
             return self.whole(text)
+        if any(c in text for c in self.added) or self.folded and any(c in text.lower() for c in self.folded):
+            return self.whole(text)
         return b"".join(map(self.words.__getitem__, self.chunks(text)))
 
 
