@@ -7,6 +7,7 @@ than pieces, so most chance hits end at a pair of pieces.  Distances are Myers'
 against its best substring of the text.
 
 Texts and items are compared lower-cased with every run of other characters than letters and digits as one blank.
+An item too short for an edit has to stand between word bounds, so that ``a`` is not found in ``alpha``.
 Items are held by the workers in blocks of bounded size; a benchmark with more items takes more passes.
 """
 
@@ -111,6 +112,8 @@ class Items:
                 if found.get(item, (k + 1,))[0] == 0:
                     continue
                 begin = at - bounds[piece]
+                if k == 0 and not (text[begin - 1 : begin] in ("", " ") and text[last + 1 : last + 2] in ("", " ")):
+                    continue
                 if text.startswith(pattern, max(0, begin)) and begin >= 0:
                     found[item] = (0, begin + len(pattern))
                     continue
@@ -120,7 +123,7 @@ class Items:
                 lo = max(0, begin - k)
                 if hit := myers_find(pattern, text[lo : begin + len(pattern) + k], k):
                     found[item] = min(found.get(item, (k + 1, 0)), (hit[0], lo + hit[1]))
-        return sorted((self.items[i][0], d, e) for i, (d, e) in found.items())
+        return [(self.items[i][0], d, e) for i, (d, e) in sorted(found.items())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,6 +131,16 @@ def _built(items: tuple, rate: float) -> Items:
     return Items(list(items), rate)
 
 
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple]:
+    """The distinct items with a text, nulls first, in blocks of about block_chars characters."""
+    items = items.where("text is not null").select("item_id", "text").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // block_chars))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield tuple(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
+
+
 def _matcher(shared, rate: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _built(shared.value, rate)
@@ -148,24 +161,24 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", rate: f
     """(key, item_id, distance, match_end) for every pair of a row of ``docs(key, text)`` and an item that it holds.
 
     Null and blank texts and items match nothing; repeated rows repeat their pairs; an item that repeats an id
-    is searched once for each text.  ``match_end`` is a place in the normalised text.
+    is searched once for each text; an item with a null id is searched like any other and gives a null item_id.
+    Other columns, whatever their names, are not read.  ``match_end`` is a place in the normalised text.
     """
     spark = docs.sparkSession
-    items = items.where("text is not null").select("item_id", "text").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
     rows = docs.select(F.col(key).alias("key"), "text")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, item_id long, distance int, match_end long"
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = tuple(sorted((r.item_id, r.text) for r in part.collect()))  # about block_chars characters
+    for held in _blocks(items, block_chars):
         found = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(held), rate), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance) for every document and benchmark item that it holds within its edits.
+
+    Null, empty and blank texts and items give no row; repeated documents repeat theirs; an empty table gives none.
+    """
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), "item_id", "distance")
 
@@ -173,14 +186,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """docs without the rows whose text holds an item; decided row by row, so no key is needed.
 
+    Null and blank texts stay, as do all columns; null and blank items match nothing; null item ids are allowed.
     Items in more than one block are searched one block after the other.
     """
     spark = docs.sparkSession
-    items = items.where("text is not null").select("item_id", "text").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    for b in range(blocks):
-        held = tuple(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
+    for held in _blocks(items, BLOCK_CHARS):
         shared = spark.sparkContext.broadcast(held)
 
         @F.pandas_udf("boolean")
