@@ -1,12 +1,15 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Three fixed patterns give base spans.  Besides, every string of 16 or more token characters that stands in a
-sensitive context (quoted, assigned or passed near a word such as ``key`` or ``auth``) is a candidate.  A
-candidate's novelty is the marginal number of compressed bytes that it adds to the text around it, where the
-compressor is primed with a dictionary of code words and identifiers, as a share of what its alphabet could
-carry.  Words, identifiers, repeated paths and repeats of surrounding text compress well; random strings don't.
-Copies of a candidate in a sensitive context or a base span, and all after it, do not count as its surroundings,
-so that a repeated secret is found; where one is found, every occurrence in the text is reported.
+Three fixed patterns give base spans.  Besides, every string of 16 or more token characters, letters and digits among
+them, that stands in a sensitive context (quoted, assigned or passed near a word such as ``key`` or ``auth``) is a
+candidate.  A candidate's novelty is the marginal number of compressed bytes that it adds to CONTEXT_CHARS characters
+of text on either side, where the compressor is primed with a dictionary of code words and identifiers, as a share of
+what its alphabet could carry.  Words, identifiers, repeated paths and repeats of surrounding text compress well;
+random strings don't.  Copies of a candidate in a sensitive context or a base span, and all after it, do not count as
+its surroundings, so that a repeated secret is found; where one is found, every occurrence in the text is reported.
+
+Several sensitive words inside one run of token characters give nested candidates: the outermost is measured first, and
+if it is not novel, the parts between the words are.  A text is scanned in time linear in its length.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ _WORDS = r"(?i:authorization|bearer|auth|credentials?|private[_-]?key|access[_-]
 #: two.  Dots stand inside a candidate only.
 SENSITIVE = re.compile(
     rf"""(?=[ABCKMPSTabckmpst\u017f\u212a])(?:{_WORDS}[A-Za-z0-9_-]{{0,64}}+(?=["'\])\x20\t:=(])["'\])]{{0,2}}[ \t]{{0,4}}(?:=>|:=|[:=(]|\bis\b)?[ \t]{{0,4}}["'(]?|\b{_WORDS}\b)"""
-    r"""(?=[A-Za-z0-9+/_.=-]{16})([A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*)"""
+    r"""(?=[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15})"""
 )
+#: Runs of token characters; a candidate ends where its run does.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 #: Candidates mix letters and digits; long words of any language don't.
-MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 #: Share of the alphabet's capacity from which a candidate counts as incompressible, and text on either side that is compressed along.
 NOVELTY, CONTEXT_CHARS = 0.8, 256
 
@@ -102,54 +107,115 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _candidates(text: str) -> list[tuple[int, int]]:
-    out, at = set(), 0
+def _candidates(text: str) -> list[list[tuple[int, int]]]:
+    """By run of token characters, the candidates that end with it, outermost first."""
+    out: list[list[tuple[int, int]]] = []
+    at = 0
     while m := SENSITIVE.search(text, at):
-        at = m.start(1)  # a candidate may hold the word of the next one
-        if len(m[1]) >= 16 and MIXED.search(m[1]):
-            out.add(m.span(1))
-    return sorted(out)
+        at = m.end()  # a candidate may hold the word of the next one
+        if out and at < out[-1][0][1]:
+            out[-1].append((at, out[-1][0][1]))
+        else:
+            out.append([(at, RUN.match(text, at).end())])
+    return [run for run in out if run[0][1] - run[0][0] >= 16]
 
 
-def _around(text: str, a: int, b: int, known: list[tuple[int, int]], widest: int) -> tuple[str, str]:
+def _mixed(word: str) -> bool:
+    return len(word) >= 16 and bool(_LETTER.search(word) and _DIGIT.search(word))
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+class _Inside:
+    """Whether a span lies inside one of some spans."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends, last = [], [], -1
+        for s, e in sorted(spans):
+            last = max(last, e)
+            self.starts.append(s)
+            self.ends.append(last)
+
+    def __call__(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a) - 1
+        return i >= 0 and self.ends[i] >= b
+
+
+def _around(text: str, a: int, b: int, known: list[tuple[int, int]]) -> tuple[str, str]:
     """Text before and after a candidate without its other copies; before it, only those in known spans count as copies."""
     word, lo = text[a:b], max(0, a - CONTEXT_CHARS)
     before, at = [], lo
-    for s, e in known[bisect.bisect_left(known, (lo - widest, 0)) : bisect.bisect_left(known, (a, 0))]:
-        s, e = max(s, at), min(e, a)
+    i = max(0, bisect.bisect_left(known, (lo, 0)) - 1)
+    while i < len(known) and known[i][0] < a:
+        s, e = max(known[i][0], at), min(known[i][1], a)
         if s < e:
             before += [text[at:s], text[s:e].replace(word, " ")]
             at = e
+        i += 1
     return "".join(before) + text[at:a], text[b : b + CONTEXT_CHARS + len(word)].replace(word, " ")[:CONTEXT_CHARS]
 
 
-def _occurrences(text: str, word: str) -> Iterator[tuple[int, int]]:
-    a = text.find(word)
-    while a >= 0:
-        b = a + len(word)
-        if not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
-            yield a, b
-        a = text.find(word, b)
+def _occurrences(text: str, words: set[str]) -> Iterator[tuple[int, int]]:
+    """Where any of the words stands by itself; occurrences of one word do not overlap."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    free: dict[str, int] = {}
+    for last, word in automaton.iter(text):
+        a, b = last + 1 - len(word), last + 1
+        if a >= free.get(word, 0):
+            free[word] = b
+            if not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+                yield a, b
 
 
-def _novel(text: str, a: int, b: int, known: list[tuple[int, int]], widest: int) -> bool:
-    before, after = _around(text, a, b, known, widest)
+def _novel(text: str, a: int, b: int, known: list[tuple[int, int]]) -> bool:
+    before, after = _around(text, a, b, known)
     return novelty(before, text[a:b], after) >= NOVELTY
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Every occurrence, outside base spans, of strings that are incompressible in some sensitive context."""
-    spans = _candidates(text)
-    known = sorted({*spans, *((s, e) for s, _, e in base)})
-    widest = max((e - s for s, e in known), default=0)
+    runs = _candidates(text)
+    if not runs:
+        return []
+    inside = _Inside([(s, e) for s, _, e in base])
+    known = _union([run[0] for run in runs] + [(s, e) for s, _, e in base])
     found: set[str] = set()
-    for a, b in spans:
-        word = text[a:b]
-        if word not in found and not any(s <= a and b <= e for s, _, e in base) and _novel(text, a, b, known, widest):
-            found.add(word)
-    out = {(a, 3, b) for word in found for a, b in _occurrences(text, word)}
-    out |= {(a, 3, b) for a, b in spans if text[a:b] in found}
-    return sorted(x for x in out if not any(s <= x[0] and x[2] <= e for s, _, e in base) and not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in out))
+    spans: list[tuple[int, int]] = []
+    for run in runs:
+        end = run[0][1]
+        parts = [(a, b) for (a, _), (b, _) in zip(run, [*run[1:], (end, end)], strict=True)] if len(run) > 1 else []
+        for a, b in (run[0], *parts):
+            if inside(a, b) or not _mixed(text[a:b]):
+                continue
+            if text[a:b] in found or _novel(text, a, b, known):
+                found.add(text[a:b])
+                spans.append((a, b))
+                if b == end and a == run[0][0]:
+                    break
+    if not found:
+        return []
+    out: list[tuple[int, int, int]] = []
+    widest = -1
+    for a, b in sorted({*spans, *_occurrences(text, found)}, key=lambda s: (s[0], -s[1])):
+        if b > widest:
+            widest = b
+            if not inside(a, b):
+                out.append((a, 3, b))
+    return out
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -173,7 +239,9 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) a row of ``docs(doc_id, text)``.
 
-    A null or empty text has no spans.  Spans are code points, end exclusive, ordered by start and then kind.
+    A null or empty text has no spans; a null doc_id is a row like any other; repeated rows are returned as often as
+    they come; no rows give none; other columns are not read.  Spans are code points, end exclusive, ordered by start
+    and then kind.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan_batches, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
@@ -192,7 +260,10 @@ def redact(text: str | None, mark: str = "<secret>") -> str | None:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with secrets in ``text`` replaced and ``n_chars``, where there is one, brought up to date."""
+    """docs with secrets in ``text`` replaced and ``n_chars``, where there is one, brought up to date.
+
+    Every row and every other column stays as it is; null and empty texts stay null and empty.
+    """
 
     @F.pandas_udf("string")
     def cleaned(texts):
@@ -203,4 +274,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and novel spans of every document, as ``find_secrets`` gives them."""
     return find_secrets(table(spark, sf_dir, "documents"))
