@@ -117,9 +117,9 @@ def _text(raw: bytes) -> str:
     return raw[1:].decode(code, "replace").strip("\0")
 
 
-def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Tags, where audio begins, and where it ends."""
-    tags, first, last = {}, 0, len(data)
+def _tags(data: bytes) -> tuple[dict[str, str], int]:
+    """The tags in front, and where audio begins."""
+    tags, first = {}, 0
     while data[first : first + 3] == b"ID3" and len(data) >= first + 10:
         version, end = data[first + 3], first + 10 + _safe_int(data[first + 6 : first + 10])
         at = first + 10
@@ -131,26 +131,23 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
             tags.setdefault(key if name == "TXXX" else name, rest)
             at += 10 + size
         first = end
-    if last - first >= 128 and data[last - 128 : last - 125] == b"TAG":
-        last -= 128
-        tags.setdefault("TIT2", data[last + 3 : last + 33].decode("latin-1").strip("\0 "))
-        tags.setdefault("TPE1", data[last + 33 : last + 63].decode("latin-1").strip("\0 "))
-    return tags, first, last
+    return tags, first
 
 
 def _rate_table(data: bytes, at: int, head: Header) -> dict | None:
-    """A Xing, Info or VBRI table in the frame at a position."""
+    """A Xing, Info or VBRI table in the frame at a position; what lies beyond the frame is not read."""
+    data = data[: at + head.size]
     place = at + 4 + 2 * head.protected + head.side
     for base in (place, at + 4 + head.side):
         name = data[base : base + 4]
         if name in (b"Xing", b"Info"):
             flags, pos, out = int.from_bytes(data[base + 4 : base + 8], "big"), base + 8, {"kind": name.decode()}
             for bit, key, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
-                if flags & bit:
+                if flags & bit and pos + size <= len(data):
                     out[key] = list(data[pos : pos + size]) if key == "toc" else int.from_bytes(data[pos : pos + size], "big")
                     pos += size
             return out
-    if data[at + 36 : at + 40] == b"VBRI":
+    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= len(data):
         size, frames, entries, scale, width = struct.unpack(">IIHHH", data[at + 46 : at + 60])
         raw = data[at + 62 : at + 62 + entries * width]
         return {"kind": "VBRI", "bytes": size, "frames": frames, "toc": [int.from_bytes(raw[k : k + width], "big") * scale for k in range(0, len(raw), max(1, width))]}
@@ -182,13 +179,30 @@ def _doubtful(body: bytes, at: int, head: Header) -> bool:
 
 
 def parse(data: bytes) -> Stream:
-    """Read a stream; what isn't a frame is skipped.
+    """Read a stream; what isn't a frame is skipped, so bytes without any give an empty stream.
 
     The first frame after a gap counts where another one, or the end, follows it; later ones count unless a
-    followed frame begins inside them.
+    followed frame begins inside them.  The last 128 bytes are a tag if they begin with its mark and no frame that
+    ends with the data covers the mark.
     """
+    tags, first = _tags(data)
+    last = len(data)
+    mark = last - 128
+    marked = mark >= first and data[mark : mark + 3] == b"TAG"
+    out = _frames(data, first, last)
+    if marked and not (len(out.offsets) and int(out.offsets[-1] + out.sizes[-1]) == last and ((out.offsets < mark) & (out.offsets + out.sizes > mark)).any()):
+        out = _frames(data, first, mark)
+        tags.setdefault("TIT2", data[mark + 3 : mark + 33].decode("latin-1").strip("\0 "))
+        tags.setdefault("TPE1", data[mark + 33 : mark + 63].decode("latin-1").strip("\0 "))
+    out.tags = tags
+    return out
+
+
+def _frames(data: bytes, at: int, last: int) -> Stream:
+    """The frames and the table between two places."""
     out = Stream()
-    out.tags, at, last = _tags(data)
+    if at >= last:
+        return out
     body, view = data[:last], np.frombuffer(data, np.uint8, last)
     runs: list[tuple[int, int, int]] = []  # first offset, size, count
     locked: Header | None = None
@@ -260,14 +274,14 @@ def store_payload(payload: bytes, tags: dict[str, str] | None = None) -> bytes:
 
 
 def read_payload(data: bytes, stream: Stream) -> bytes:
-    """The ancillary bytes of every frame that store_payload has written."""
+    """The ancillary bytes of every frame that store_payload has written; of other frames what stands there."""
     front = 4 + 2 + _SIDE
     view = np.frombuffer(data, np.uint8)
     steps = np.diff(stream.offsets)
-    if len(stream.offsets) and (steps == FRAME).all():
+    if len(stream.offsets) and (steps == FRAME).all() and (stream.sizes == FRAME).all():
         a = int(stream.offsets[0])
         return view[a : a + FRAME * len(stream.offsets)].reshape(-1, FRAME)[:, front : front + UNIT].tobytes()
-    return b"".join(data[o + front : o + front + UNIT] for o in stream.offsets.tolist())
+    return b"".join(data[o + front : o + min(size, front + UNIT)] for o, size in zip(stream.offsets.tolist(), stream.sizes.tolist(), strict=True))
 
 
 def feature(stream: Stream) -> str:
@@ -286,28 +300,43 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each text, null ones as empty, as UTF-8 padded with blanks, in MPEG frames."""
+    """(doc_id, media): each text, null ones as empty, as UTF-8 padded with blanks, in MPEG frames.
+
+    Null and repeated doc ids are rows like any other; no rows give none; other columns are not read.
+    """
     return docs.select("doc_id", "text").mapInArrow(_store_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
+def _digests(data: bytes | None) -> tuple:
+    """What read_media returns of a value."""
+    if data is None:
+        return (None,) * 9
+    stream = parse(data)
+    payload, size = read_payload(data, stream), stream.tags.get("bytes", "")
+    n_bytes = int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), stream.micros, len(stream.offsets)
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us", "n_frames")}
         for value in batch.column(1):
-            data = value.as_py()
-            stream = parse(data)
-            payload = read_payload(data, stream)
-            for k, v in zip(rows, (int(stream.tags["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream), stream.micros, len(stream.offsets)), strict=True):
+            for k, v in zip(rows, _digests(value.as_py()), strict=True):
                 rows[k].append(v)
         yield pa.record_batch({"doc_id": batch.column(0)} | {k: pa.array(v, pa.string() if k in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for k, v in rows.items()})
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of a stored ``media`` column, one row a row."""
+    """Digests and features of ``media(doc_id, media)``, one row a row, repeated rows included.
+
+    Streams of other writers have a null n_bytes, and their payload is what stands where ours has it; bytes without a
+    frame have no payload, duration or frame; a null value has nulls.
+    """
     schema = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, n_frames long"
     return media.select("doc_id", "media").mapInArrow(_read_batches, schema)
 
 
 def op6_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as ``store_texts`` does and read back as ``read_media`` does."""
     stored = Scratch(spark, "op6").save(store_texts(table(spark, sf_dir, "documents")), "media", "zstd")
     return read_media(stored)
