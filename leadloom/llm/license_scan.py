@@ -5,8 +5,9 @@ hit's diagonal is its position in the text minus its position in the template; h
 an inserted or missing word only shifts it a little.  Hits are verified word by word where the join finds them,
 counted by diagonal, and neighbouring diagonals are merged into spans that must cover enough of their template.
 
-Words never leave the row before a hit is found: hits carry a row number, not a text.  Templates are the few hundred
-grams fixed below and are broadcast, so grams without a hit are never shuffled.
+Each gram leaves its row with its own words only, so a text costs time linear in its words, and hits carry a row
+number, not a text.  Templates are the few hundred grams fixed below and are broadcast, so grams without a hit are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -60,15 +61,15 @@ def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
 def license_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """(row, doc_id, n_words, kind, label, template, first, last, cover): every span of every row of ``docs(doc_id, text)``.
 
-    A row without a span is returned once with null kind.  ``row`` numbers rows, so repeated rows stay apart.
+    A row without a span, as of a null or empty text, is returned once with null kind.  ``row`` numbers rows, so
+    repeated rows and null doc ids stay apart; no rows give none; other columns are not read.
     """
     words = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))
     args = ", ".join(f"words[i + {j}]" for j in range(k))
-    hashes = F.expr(f"IF(n_words >= {k}, transform(sequence(0, CAST(n_words AS INT) - {k}), i -> xxhash64({args})), array())")
-    grams = words.select("row", "doc_id", "n_words", "words", F.posexplode_outer(hashes).alias("pos", "hash"))
+    made = F.expr(f"IF(n_words >= {k}, transform(sequence(0, CAST(n_words AS INT) - {k}), i -> struct(xxhash64({args}) AS hash, slice(words, i + 1, {k}) AS own)), array())")
+    grams = words.select("row", "doc_id", "n_words", F.posexplode_outer(made).alias("pos", "g")).select("row", "doc_id", "n_words", "pos", F.col("g.hash").alias("hash"), F.col("g.own").alias("own"))
     hits = grams.join(F.broadcast(template_grams(docs.sparkSession, k)), "hash", "left")  # a few hundred fixed rows
-    same = F.expr("slice(words, pos + 1, size(gram)) = gram")
-    seen = hits.select("row", "doc_id", "n_words", "pos", F.when(same, F.struct("kind", "label", "template", "tpos", "grams")).alias("h")).where("h is not null or coalesce(pos, 0) = 0")
+    seen = hits.select("row", "doc_id", "n_words", "pos", F.when(F.expr("own = gram"), F.struct("kind", "label", "template", "tpos", "grams")).alias("h")).where("h is not null or coalesce(pos, 0) = 0")
     diagonals = seen.groupBy("row", "h.template", (F.col("pos") - F.col("h.tpos")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("h.kind").alias("kind"), F.first("h.label").alias("label"), F.first("h.grams").alias("grams"),
         F.count("h.tpos").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"),
@@ -107,4 +108,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and notices, as ``scan_licenses`` gives them."""
     return scan_licenses(table(spark, sf_dir, "documents"))
