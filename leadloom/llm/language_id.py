@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm.common import table
 
-#: Hashed dimensions, labelled rows a language that centroids are fitted on, centroids a language, languages at most.
+#: Hashed dimensions, labelled rows a language that centroids are fitted on, centroids a language, languages that are
+#: learned: those with the most labelled rows, so that a dirty label column costs neither the run nor the driver.
 DIMENSIONS, SAMPLE, CENTROIDS, LANGUAGES = 8192, 400, 3, 200
 #: A text is rejected below this share of the least cosine that sampled texts of its length class have had; short
 #: texts, below 2 ** SHORT n-grams, vary much more and need to lie further off.
@@ -128,14 +129,13 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labelled(text, lang, key)``; rows with a null text or lang teach nothing.
 
-    Frequencies cover every row.  Centroids and floors are fitted on about ``sample`` rows a language, chosen by a
-    hash of ``key``; more than LANGUAGES languages are refused, which bounds what the driver holds.
+    Frequencies cover every row.  Centroids and floors are fitted on about ``sample`` rows a language, whatever the
+    table's size: those whose 63-bit hash of key and text lies below the share that so many rows are, each once.  The
+    LANGUAGES languages with the most rows are learned, by name where equal; the driver holds no more.
     """
     labelled = labelled.where("text is not null and lang is not null")
     df = labelled.select("text").mapInArrow(_document_frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     freq = {r.dim: r.n for r in df}
     total = freq.pop(-1, 0)
     idf = np.full(DIMENSIONS, np.log(1 + total), np.float32)
@@ -144,7 +144,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, sample / n)))) if sizes else None
     rows: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     if sizes:
-        chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+        place = F.shiftrightunsigned(F.xxhash64("key", "text"), 1)
+        below = F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * float(1 << 63)
+        chosen = labelled.select("lang", "text", place.alias("place")).where(F.col("place") < below).dropDuplicates(["lang", "place"])
         for r in chosen.select("lang", "text").mapInArrow(_sample_counts, "lang string, dims binary, n binary").collect():
             if r.dims:
                 rows.setdefault(r.lang, []).append((np.frombuffer(r.dims, "<u2").astype(np.int64), np.frombuffer(r.n, "<u4").astype(np.int64)))
@@ -178,7 +180,11 @@ def _predictor(model):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and lang_pred, score and rejected, from ``text`` alone; docs has no columns of these names."""
+    """docs and lang_pred, score and rejected, from ``text`` alone; docs has no columns of these names.
+
+    A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text where nothing could
+    be learned.  Repeated rows are returned as often as they come; no rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * CENTROIDS vectors
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean"
     return docs.mapInArrow(_predictor(shared), schema)
@@ -190,6 +196,7 @@ def teaching_rows(docs: DataFrame) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned and predicted as in ``fit`` and ``identify``; a null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(teaching_rows(docs))
     found = identify(docs.select("doc_id", "text"), model)
@@ -198,7 +205,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that are rejected; columns are those of docs."""
+    """docs without those that are rejected; columns are those of docs, whatever their names.
+
+    Null texts and texts without a letter go; repeated rows stay or go together; no rows give none.
+    """
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     model = fit(teaching_rows(docs))
     found = identify(docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns)), model)
