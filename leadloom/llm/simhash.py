@@ -91,6 +91,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class, as ``near_duplicates`` gives them."""
     out = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -98,16 +99,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with one document of each near-duplicate class: the one with the smallest doc_id, once.
 
-    Rows without a doc_id can't be told apart and all stay.  The texts are fingerprinted once and shuffled once.
+    Rows without a doc_id can't be told apart and all stay; rows that repeat a doc_id with different texts of one class
+    stay once a fingerprint.  Columns are those of docs, whatever their names.  The texts are fingerprinted once and
+    shuffled once.
     """
 
     @F.pandas_udf("long")
     def simhash(texts):
         return texts.map(lambda t: int(np.uint64(fingerprint(t)).astype(np.int64)))
 
-    rows = scratch.save(docs.withColumn("__simhash", simhash("text")), "documents", "zstd")
-    ids = rows.select("doc_id", F.col("__simhash").alias("fp"))
-    found = classes(ids, scratch)
-    keep = found.where("component_id is not null").select(F.col("component_id").alias("doc_id"), F.col("class_fp").alias("__simhash"))
-    kept = rows.join(keep, ["doc_id", "__simhash"], "left_semi").dropDuplicates(["doc_id", "__simhash"])
-    return kept.unionByName(rows.where("doc_id is null")).drop("__simhash").select(docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (inner[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = scratch.save(docs.toDF(*inner).withColumn("fp", simhash(text)), "documents", "zstd")
+    found = classes(rows.select(F.col(doc_id).alias("doc_id"), "fp"), scratch)
+    keep = found.where("component_id is not null").select(F.col("component_id").alias(doc_id), F.col("class_fp").alias("fp"))
+    kept = rows.join(keep, [doc_id, "fp"], "left_semi").dropDuplicates([doc_id, "fp"])
+    return kept.unionByName(rows.where(F.col(doc_id).isNull())).select(*inner).toDF(*docs.columns)
