@@ -11,6 +11,7 @@ that the adaptive planner can split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +52,7 @@ def _thin(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_forest, edges.schema)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64, finish: int = FINISH) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, finish: int = FINISH) -> DataFrame:
     """(node, root) for every node of ``edges(src, dst)``; root is one node of the component.
 
     Nulls, self loops and repeated edges are ignored; an empty table gives an empty result.  Nodes may be of
@@ -61,7 +62,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     kind = edges.schema["src"].dataType
     live = scratch.save(_thin(edges), "edges")
     steps: list[DataFrame] = []
-    for k in range(max_rounds):
+    for k in count():
         left = live.count()
         if not left:
             break
@@ -78,8 +79,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         moved = moved.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst").distinct()
         done, live = live, scratch.save(_thin(moved), "edges")
         scratch.drop(done)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     scratch.drop(live)
     if not steps:
         return edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
