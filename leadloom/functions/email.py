@@ -10,17 +10,24 @@ from leadloom.functions.text import unescape
 from leadloom.functions.url import extract_host, registrable_domain
 
 ADDRESS = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_IMAGE = r"\.(?:png|jpg|gif|webp|svg)$"
+_IMAGE = r"\.(?:png|jpg|jpeg|gif|webp|svg)$"
+_ESCAPED = r"\\([\\`*_{}\[\]()#+\-.!])"
+
+
+def decoded(text: Column) -> Column:
+    """Entities, percent codes and Markdown's backslashes undone, in this order; a plus sign stays one."""
+    plain = unescape(F.replace(F.replace(text, F.lit("&#64;"), F.lit("@")), F.lit("&#46;"), F.lit(".")))
+    coded = F.replace(F.regexp_replace(plain, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    plain = F.when(plain.rlike("%[0-9A-Fa-f]{2}"), F.coalesce(F.try_url_decode(coded), plain)).otherwise(plain)
+    return F.when(plain.contains("\\"), F.regexp_replace(plain, _ESCAPED, "$1")).otherwise(plain)
 
 
 def extract_emails(text: Column) -> Column:
-    """Distinct addresses of a text in order, lower-cased; entities and percent codes are decoded first."""
-    plain = F.coalesce(text, F.lit(""))
-    for code, char in (("&#64;", "@"), ("&#46;", "."), ("%40", "@"), ("%2E", "."), ("%2e", "."), ("\\@", "@"), ("\\.", "."), ("\\_", "_"), ("\\-", "-")):
-        plain = F.replace(plain, F.lit(code), F.lit(char))
-    found = F.regexp_extract_all(unescape(plain), F.lit(f"({ADDRESS})"), 1)
+    """Distinct addresses of a text in order, lower-cased, without file names of images and cut-off mailboxes; null has none."""
+    found = F.regexp_extract_all(decoded(text), F.lit(f"({ADDRESS})"), 1)
     tidy = F.transform(found, lambda e: F.regexp_replace(F.lower(e), r"[.,;:)]+$", ""))
-    return F.array_distinct(F.filter(tidy, lambda e: ~e.rlike(_IMAGE) & e.rlike(r"^(?:[a-z0-9]|[a-z0-9][^@]*[a-z0-9])@")))
+    kept = F.array_distinct(F.filter(tidy, lambda e: ~e.rlike(_IMAGE) & e.rlike(r"^(?:[a-z0-9]|[a-z0-9][^@]*[a-z0-9])@")))
+    return F.when(text.rlike("@|%40|&#64;|&commat;"), kept).otherwise(F.array().cast("array<string>"))
 
 
 def is_role_email(email: Column) -> Column:
@@ -64,3 +71,26 @@ PROVIDER_STATUS = {"valid": "VALID", "invalid": "INVALID", "catch-all": "RISKY",
 def provider_status(c: Column) -> Column:
     known = F.create_map(*(F.lit(v) for pair in PROVIDER_STATUS.items() for v in pair))
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(c))), F.lit("UNKNOWN"))
+
+
+def verifier_answer(code: Column, timed_out: Column, error: Column, said: Column) -> Column:
+    """struct(status, reason, billable) of a verifier's recorded answer; whatever isn't a verdict leaves the address PENDING.
+
+    code is the HTTP status, error the message of a failure in the body, said the provider's own word.
+    """
+    made = lambda status, reason, billable=False: F.struct(status.alias("status"), reason.cast("string").alias("reason"), F.lit(billable).alias("billable"))
+    pending = lambda reason: made(F.lit("PENDING"), reason)
+    known = F.create_map(*(F.lit(v) for pair in PROVIDER_STATUS.items() for v in pair))
+    word = F.lower(F.coalesce(said, F.lit("")))
+    verdict = F.try_element_at(known, word)
+    return (
+        F.when(F.coalesce(timed_out, F.lit(False)), pending(F.lit("PROVIDER_TIMEOUT")))
+        .when(code.isin(401, 403), pending(F.lit("PROVIDER_UNAVAILABLE")))
+        .when(code == 429, pending(F.lit("PROVIDER_RATE_LIMITED")))
+        .when(F.coalesce(code, F.lit(0)) == 0, pending(F.lit("PROVIDER_ERROR:NO_ANSWER")))
+        .when(code >= 400, pending(F.lit("PROVIDER_ERROR:HTTP_STATUS")))
+        .when(F.coalesce(error, F.lit("")) != "", pending(F.lit("PROVIDER_UNAVAILABLE")))
+        .when(verdict.isNull(), pending(F.concat(F.lit("UNRECOGNIZED_STATUS:"), word)))
+        .when(verdict == "UNKNOWN", made(verdict, F.lit(None)))
+        .otherwise(made(verdict, F.lit(None), True))
+    )

@@ -135,13 +135,3 @@ def unwrap_redirect(c: Column) -> Column:
     padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
     return F.when(escaped != "", F.coalesce(F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))), c)).when(coded != "", F.coalesce(F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"), c)).otherwise(c)
 
-
-def waterfall_need(first: Column, previous: Column, below_target: Column, missing_email: Column) -> Column:
-    """struct(need, reason) of the next provider: ``full``, ``people`` or null, by what the previous one did."""
-    made = lambda need, reason: F.struct(F.lit(need).cast("string").alias("need"), reason.alias("reason"))
-    done = made(None, F.lit("NOTHING_MISSING"))
-    failed = previous.isin("PROVIDER_NO_MATCH", "PROVIDER_ERROR", "PROVIDER_TIMEOUT", "PROVIDER_RATE_LIMITED", "PROVIDER_UNAVAILABLE")
-    return (
-        F.when(first, F.when(below_target, made("full", F.lit("PRIMARY"))).otherwise(done)).when(previous == "PROVIDER_SUCCESS", made(None, F.lit("PROVIDER_SUCCESS")))
-        .when((previous == "PROVIDER_PARTIAL") & missing_email, made("people", previous)).when(failed & below_target, made("full", previous)).otherwise(done)
-    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom import vocab
 from leadloom.functions import dates, email, text
 from leadloom.vocab import Settings
 
@@ -23,8 +24,8 @@ def hiring_priority(titles: DataFrame, key: str = "company_id") -> DataFrame:
 
 
 def contact_confidence(method: Column, has_title: Column, tier: Column, has_email: Column) -> Column:
-    """0 to 1, counted in hundredths."""
-    by_method = F.when(method == "STRUCTURED", 30).when(method == "MICROFORMAT", 25).when(method == "TABLE", 20).otherwise(10)
+    """0 to 1, counted in hundredths: how a person was found, and what is known of them."""
+    by_method = F.when(method == "STRUCTURED", 30).when(method.isin("MICROFORMAT", "TABLE"), 25).when(method.isin("BLOCK", "MAILTO"), 20).when(method == "TEXT", 10).otherwise(0)
     total = F.lit(30) + by_method + F.when(has_title, 20).otherwise(0) + F.when(tier.isNotNull(), 20).otherwise(0) + F.when(has_email, 10).otherwise(0)
     return F.least(total, F.lit(100)) / F.lit(100.0)
 
@@ -69,12 +70,19 @@ def discover_emails(contacts: DataFrame, extras: DataFrame, domains: DataFrame)
     return out.withColumn("confidence", email.email_confidence(F.col("email_class"), F.col("name").isNotNull()))
 
 
-def email_status(observed: DataFrame) -> DataFrame:
-    """(company_id, counts by class, email_status)."""
+def email_status(observed: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """(company_id, counts by class, email_status), by the employer's own mailboxes first; companies may add some without any address."""
     n = lambda kind: F.count_if(F.col("email_class") == kind)
     kinds = ("PERSONAL", "ROLE", "DOMAIN_MISMATCH", "EXTERNAL_UNVERIFIED", "PORTAL_GENERATED")
-    rows = observed.groupBy("company_id").agg(*(n(k).alias(f"n_{k.lower()}") for k in kinds))
-    status = F.when(F.col("n_personal") > 0, F.lit("PERSONAL_FOUND")).when(F.col("n_role") > 0, F.lit("ROLE_ONLY")).otherwise(F.lit("UNVERIFIED_ONLY"))
+    counts = [f"n_{k.lower()}" for k in kinds]
+    rows = observed.groupBy("company_id").agg(*(n(k).alias(c) for k, c in zip(kinds, counts, strict=True)))
+    if companies is not None:
+        rows = companies.select("company_id").distinct().join(rows, "company_id", "left").fillna(0, counts)
+    own = F.col("n_personal") + F.col("n_role")
+    status = (
+        F.when(own > 1, F.lit("MULTIPLE_EMAILS_FOUND")).when(F.col("n_personal") > 0, F.lit("PERSONAL_EMAIL_FOUND")).when(F.col("n_role") > 0, F.lit("ROLE_EMAIL_FOUND"))
+        .when(sum((F.col(c) for c in counts[2:]), F.lit(0)) > 0, F.lit("LOW_CONFIDENCE_EMAIL_FOUND")).otherwise(F.lit("NO_PUBLIC_EMAIL_FOUND"))
+    )
     return rows.withColumn("email_status", status)
 
 
@@ -119,43 +127,58 @@ def merge_provider(contacts: DataFrame, provided: DataFrame, domains: DataFrame)
     return kept.unionByName(fresh)
 
 
-def provider_need(companies: DataFrame, contacts: DataFrame, target: int = 3) -> DataFrame:
-    """(company_id, need, reason): NOTHING_MISSING, ``people`` where POCs lack a personal address, or ``full``."""
-    pocs = contacts.where("title_priority is not null").groupBy("company_id").agg(F.count("*").alias("n"), F.count_if(F.col("email_class") == "PERSONAL").alias("personal"))
-    out = companies.select("company_id").join(pocs, "company_id", "left").fillna(0, ["n", "personal"])
-    need = F.when((F.col("n") >= target) & (F.col("personal") >= F.col("n")), F.lit("none")).when(F.col("n") >= target, F.lit("people")).otherwise(F.lit("full"))
-    reason = F.when(need == "none", F.lit("NOTHING_MISSING")).when(F.col("n") == 0, F.lit("NO_CONTACTS")).when(need == "people", F.lit("NO_PERSONAL_EMAIL")).otherwise(F.lit("TOO_FEW_CONTACTS"))
-    return out.select("company_id", need.alias("need"), reason.alias("reason"))
-
-
 def budget_prefix(rows: DataFrame, order: list, n: int) -> DataFrame:
     """The first n rows; a top-k the planner does without sorting everything."""
     return rows.orderBy(*order).limit(n)
 
 
 def disable_for_run(attempts: DataFrame) -> DataFrame:
-    """attempts and disabled: whether the provider was rate limited or unavailable earlier in the run."""
-    w = Window.partitionBy("provider").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return attempts.withColumn("disabled", F.coalesce(F.max(F.col("status").isin("PROVIDER_RATE_LIMITED", "PROVIDER_UNAVAILABLE")).over(w), F.lit(False)))
+    """attempts and disabled: whether the provider was rate limited or unavailable earlier in the run.
+
+    The first refusal of each provider is one aggregation, so a provider may hold any share of the attempts.
+    """
+    refused = attempts.where(F.col("status").isin(vocab.PROVIDER_STOPS)).groupBy("provider").agg(F.min("seq").alias("__refused"))
+    return attempts.join(refused, "provider", "left").select(*attempts.columns, F.coalesce(F.col("seq") > F.col("__refused"), F.lit(False)).alias("disabled"))
 
 
 def http_status_to_provider(code: Column, timed_out: Column) -> Column:
     return F.when(timed_out, F.lit("PROVIDER_TIMEOUT")).when(code == 429, F.lit("PROVIDER_RATE_LIMITED")).when(code.isin(401, 403), F.lit("PROVIDER_UNAVAILABLE")).when(code >= 400, F.lit("PROVIDER_ERROR")).otherwise(F.lit("SUCCESS"))
 
 
-def verify(addresses: DataFrame, cache: DataFrame, recorded: DataFrame, now: Column, s: Settings = Settings()) -> DataFrame:
-    """addresses(seq, company_id, email, email_class) and status, verified_by.
+def verify(addresses: DataFrame, cache: DataFrame, recorded: DataFrame, now: Column, s: Settings = Settings(), configured: bool = True) -> DataFrame:
+    """addresses(seq, company_id, email, email_class) and status, reason, verified_by, billable, in the run's order ``seq``.
 
-    Skipped classes first, then a final verdict in cache(email, status, checked_at) young enough, then up to the run's
-    budget of recorded(email, provider_status) answers, once an address; the rest is NOT_CHECKED.
+    Classes other than PERSONAL and ROLE are SKIPPED.  An address whose newest row in cache(email, status, checked_at)
+    is a verdict and young enough takes it.  The others are asked in order, each until it has an answer, up to the
+    run's budget; recorded(email, code, timed_out, error, provider_status) holds the answers.  A refusal stops all
+    later calls; whatever gets no verdict is PENDING with its reason.  A row without an address has nulls.
     """
-    final = cache.where("status in ('VALID', 'INVALID', 'RISKY')").groupBy(F.lower("email").alias("email")).agg(F.max_by(F.struct("status", "checked_at"), "checked_at").alias("c"))
-    rows = addresses.withColumn("email", F.lower("email")).join(final, "email", "left")
-    skip = ~F.coalesce(F.col("email_class").isin("PERSONAL", "ROLE"), F.lit(False))
-    hit = dates.within_days(F.col("c.checked_at"), now, s.verification_refresh_days)
-    asked = rows.where(~skip & ~hit).groupBy("email").agg(F.min("seq").alias("first_seq")).orderBy("first_seq").limit(s.verification_max_per_run)
-    answers = asked.join(recorded.groupBy(F.lower("email").alias("email")).agg(F.first("provider_status").alias("provider_status")), "email", "left").select("email", email.provider_status(F.col("provider_status")).alias("answer"))
-    rows = rows.join(answers, "email", "left")
-    status = F.when(skip, F.lit("SKIPPED")).when(hit, F.col("c.status")).when(F.col("answer").isNotNull(), F.col("answer")).otherwise(F.lit("NOT_CHECKED"))
-    by = F.when(skip, F.lit("CLASS")).when(hit, F.lit("CACHE")).when(F.col("answer").isNotNull(), F.lit("PROVIDER")).otherwise(F.lit("BUDGET"))
-    return rows.select(*addresses.columns, status.alias("status"), by.alias("verified_by"))
+    newest = cache.groupBy(F.lower("email").alias("e")).agg(F.max_by(F.struct("status", "checked_at"), "checked_at").alias("c"))
+    given = recorded.groupBy(F.lower("email").alias("e")).agg(F.min(F.struct("code", "timed_out", "error", "provider_status")).alias("r"))
+    rows = addresses.withColumn("e", F.nullif(F.lower(F.trim("email")), F.lit(""))).join(newest, "e", "left").join(given, "e", "left")
+    rows = rows.withColumn("a", email.verifier_answer(F.col("r.code"), F.col("r.timed_out"), F.col("r.error"), F.col("r.provider_status")))
+    trusted = F.coalesce(F.col("email_class").isin("PERSONAL", "ROLE"), F.lit(False))
+    hit = F.coalesce(F.col("c.status").isin("VALID", "INVALID", "RISKY"), F.lit(False)) & dates.within_days(F.col("c.checked_at"), now, s.verification_refresh_days)
+    rows = rows.withColumn("open", F.col("e").isNotNull() & trusted & ~hit)
+    first = rows.where("open").groupBy("e").agg(F.min("seq").alias("first_seq"))
+    rows = rows.join(first, "e", "left").withColumn("again", F.col("open") & ((F.col("seq") == F.col("first_seq")) | (F.col("a.status") == "PENDING")))
+    stopping = F.col("a.reason").isin("PROVIDER_UNAVAILABLE", "PROVIDER_RATE_LIMITED")
+    calls = rows.where("again").select("seq", "a.reason", stopping.alias("stops")).orderBy("seq").limit(s.verification_max_per_run)
+    stop = calls.agg(F.max("seq").alias("last_seq"), F.min(F.when(F.col("stops"), F.struct("seq", "reason"))).alias("stop"))  # one row
+    rows = rows.join(F.broadcast(stop))
+    off = F.lit("DISABLED") if not s.verification_enabled else F.lit("NOT_CONFIGURED") if not configured else F.lit(None).cast("string")
+    reached = lambda seq: F.coalesce((seq <= F.col("last_seq")) & (F.col("stop").isNull() | (seq <= F.col("stop.seq"))), F.lit(False))
+    known = reached(F.col("first_seq")) & (F.col("a.status") != "PENDING")
+    refused = F.coalesce(F.col("stop.reason"), F.lit("BUDGET_EXHAUSTED"))
+    none, pending = F.lit(None).cast("string"), F.lit("PENDING")
+    made = lambda status, reason, by, billable=F.lit(False): F.struct(status.alias("status"), reason.cast("string").alias("reason"), F.lit(by).cast("string").alias("verified_by"), billable.alias("billable"))  # noqa: E731, B008
+    out = (
+        F.when(F.col("e").isNull(), made(none, none, None))
+        .when(~trusted, made(F.lit("SKIPPED"), F.concat(F.lit("EMAIL_CLASS:"), F.coalesce("email_class", F.lit("None"))), "CLASS"))
+        .when(hit, made(F.col("c.status"), none, "CACHE"))
+        .when(off.isNotNull(), made(pending, off, "NONE"))
+        .when(known, made(F.col("a.status"), F.col("a.reason"), "PROVIDER", F.col("a.billable") & (F.col("seq") == F.col("first_seq"))))
+        .when(F.col("again") & reached(F.col("seq")), made(pending, F.col("a.reason"), "PROVIDER"))
+        .otherwise(made(pending, refused, "NONE"))
+    )
+    return rows.withColumn("o", out).select(*addresses.columns, "o.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom import vocab
 from leadloom.functions import dates
 
 
@@ -70,8 +71,7 @@ def _nested(rows: DataFrame, parent: str, columns: list[str], name: str, cap: in
 def final_leads(companies: DataFrame, pocs: DataFrame, emails: DataFrame, jobs: DataFrame, evidence: DataFrame, verification: DataFrame, enrichment: DataFrame) -> DataFrame:
     """One nested document a company: children are capped in order of id, gathered once each and joined on the company.
 
-    pocs come from rank_pocs with ``id``; a poc's verification is the newest log of its address.  lead_status is READY
-    with a ranked person who has an address, PARTIAL with any person or address, else NO_CONTACT.
+    pocs come from rank_pocs with ``id``; a poc's verification is the newest log of its address.
     """
     newest = latest(verification.withColumn("e", F.lower("email")), ["company_id", "e"], "created_at", "id").select("company_id", "e", F.col("status").alias("verification_status"))
     people = pocs.withColumn("e", F.lower("email")).join(newest, ["company_id", "e"], "left")
@@ -86,9 +86,25 @@ def final_leads(companies: DataFrame, pocs: DataFrame, emails: DataFrame, jobs:
     out = companies
     for part in parts:
         out = out.join(part, "company_id", "left")
-    reachable = F.coalesce(F.exists("pocs", lambda p: p["email"].isNotNull()), F.lit(False))
-    status = F.when(reachable, F.lit("READY")).when((F.coalesce(F.array_size("pocs"), F.lit(0)) > 0) | (F.coalesce(F.array_size("emails"), F.lit(0)) > 0), F.lit("PARTIAL")).otherwise(F.lit("NO_CONTACT"))
-    return out.withColumn("lead_status", status)
+    return out.withColumn("lead_status", lead_status(F.col("pocs")))
+
+
+def lead_status(pocs: Column) -> Column:
+    """READY with a verified personal address of a ranked person, PENDING_VERIFICATION with one that is not settled yet, else NO_VERIFIED_POC_EMAIL.
+
+    pocs is an array of structs with email_class and verification_status; INVALID and RISKY addresses are settled.
+    """
+    personal = lambda p: p["email"].isNotNull() & (p["email_class"] == "PERSONAL")
+    some = lambda test: F.coalesce(F.exists(pocs, lambda p: F.coalesce(personal(p) & test(p["verification_status"]), F.lit(False))), F.lit(False))
+    ready, open_ = some(lambda v: v == "VALID"), some(lambda v: v.isNull() | v.isin("PENDING", "UNKNOWN"))
+    return F.when(ready, F.lit("READY")).when(open_, F.lit("PENDING_VERIFICATION")).otherwise(F.lit("NO_VERIFIED_POC_EMAIL"))
+
+
+def lead_status_counts(leads: DataFrame) -> DataFrame:
+    """(lead_status, leads) of a run, every status included."""
+    every = leads.sparkSession.createDataFrame([(s,) for s in vocab.LEAD_STATUSES], "lead_status string")
+    found = leads.groupBy("lead_status").agg(F.count("*").alias("leads"))
+    return every.join(found, "lead_status", "left").fillna(0, ["leads"])
 
 
 def leads_page(leads: DataFrame, status: str | None = None, lead_status: str | None = None, offset: int = 0, limit: int = 500) -> DataFrame:

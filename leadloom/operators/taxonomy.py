@@ -58,6 +58,70 @@ def industry_of_title(titles: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(exact, "title", "left").join(inside, "title", "left").select("title", F.coalesce("exact", "inside").alias("industry"))
 
 
+def is_searchable(term: Column) -> Column:
+    """Whether a term reads like what employers advertise, and not like a classification's label."""
+    low, words_ = F.lower(F.coalesce(term, F.lit(""))), F.filter(F.split(F.trim(F.coalesce(term, F.lit(""))), r"\s+"), lambda w: w != "")
+    last = F.coalesce(F.try_element_at(words_, F.lit(-1)), F.lit(""))
+    label = low.contains(",") | low.contains(" and ") | low.contains("/") | low.rlike("^(?:all other|other )| all other$|except|miscellaneous")
+    plural = last.endswith("s") & ~last.rlike("(?:ss|us|is)$")
+    return (F.length(low) >= 4) & ~label & F.size(words_).between(1, 4) & ~plural
+
+
+def clean_title(c: Column, most_words: int = 5) -> Column:
+    """A reported job title fit to be a search term, or null: without brackets and odd signs, of few words, not generic, no digits."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([^)]*\)", ""), r"(?U)[^\w\s&/'\-.,()]", " ")
+    text = F.regexp_replace(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), r"^[ ,.\-/]+|[ ,.\-/]+$", "")
+    unfit = (F.length(text) < 4) | (F.size(F.split(text, " ")) > most_words) | F.lower(text).isin(vocab.STOP_TITLES) | text.rlike(r"\d")
+    return F.when(~unfit, text)
+
+
+def rank_terms(reported: DataFrame, cap: int = 18) -> DataFrame:
+    """(soc_code, search_term, rank) from reported(soc_code, part, ord, title): cleaned titles once each, canonical ones (part 0) first, ``cap`` an occupation."""
+    rows = reported.withColumn("search_term", clean_title(F.col("title"))).where("search_term is not null and coalesce(soc_code, '') <> ''")
+    firsts = rows.groupBy("soc_code", F.lower("search_term").alias("low")).agg(F.min(F.struct("part", "ord", "search_term")).alias("r"))
+    w = Window.partitionBy("soc_code").orderBy("r.part", "r.ord", "low")
+    return firsts.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < cap).select("soc_code", "r.search_term", "rank")
+
+
+def top_occupations(employment: DataFrame, cap: int = 40) -> DataFrame:
+    """employment(naics3, soc_code, employed) and rank: each industry's largest occupations, ``cap`` of them."""
+    w = Window.partitionBy("naics3").orderBy(F.col("employed").desc_nulls_last(), "soc_code")
+    return employment.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < cap)
+
+
+def soc_major(code: Column) -> Column:
+    """The major group of an occupation, or ''."""
+    bare = F.trim(F.coalesce(code, F.lit("")))
+    return F.when(F.length(bare) >= 2, F.concat(F.substring(bare, 1, 2), F.lit("-0000"))).otherwise(F.lit(""))
+
+
+def search_terms(spark: SparkSession, path: str) -> DataFrame:
+    """The term table from CSV with a header, without the excluded major group."""
+    from leadloom.schemas import SEARCH_TERMS
+
+    return spark.read.schema(SEARCH_TERMS).option("header", True).csv(path).where(F.col("soc_major") != vocab.EXCLUDED_SOC_MAJOR)
+
+
+def terms_by_industry(terms: DataFrame) -> DataFrame:
+    """(client_industry, place, search_term): core terms in order of rank; only industries that have some."""
+    rows = terms.where("tier = 'CORE' and coalesce(client_industry, '') <> ''")
+    w = Window.partitionBy("client_industry").orderBy("rank", "soc_code", "search_term")
+    return rows.select("client_industry", F.row_number().over(w).alias("place"), "search_term")
+
+
+def suggest_terms(sector: str, industries: DataFrame, terms: DataFrame, most_rank: int = 5, excluded: list[str] | None = None) -> DataFrame:
+    """(place, search_term): searchable terms of the occupations that a sector's industries employ, each once, where it first comes.
+
+    industries(naics3, client_industry, soc_code, rank) in order of code and rank; terms of the first ranks only; the
+    excluded major groups always hold the one that is never searched.
+    """
+    gone = [*(excluded or []), vocab.EXCLUDED_SOC_MAJOR]
+    ours = industries.where((F.col("client_industry") == sector) & ~soc_major(F.col("soc_code")).isin(gone)).select("naics3", F.col("rank").alias("place"), "soc_code")
+    fit = terms.where(is_searchable(F.col("search_term")) & (F.col("rank") <= most_rank)).select("soc_code", "search_term", "rank")
+    firsts = ours.join(fit, "soc_code").groupBy("search_term").agg(F.min(F.struct("naics3", "place", "soc_code", "rank")).alias("at"))
+    return firsts.select(F.row_number().over(Window.orderBy("at", "search_term")).alias("place"), "search_term")  # one sector's terms
+
+
 def title_votes(identified: DataFrame, industries: DataFrame) -> DataFrame:
     """(company, hint): the industry that most of a company's titles speak for, first seen on ties."""
     votes = identified.join(industries.where("industry is not null"), "title").groupBy("company", "industry").agg(F.count("*").alias("n"), F.min("ord").alias("o"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadloom import vocab
 from leadloom.functions import dates, size, text
 from leadloom.operators import matching, people
 from leadloom.plans.postings import lit, sql_root, table
@@ -56,14 +57,21 @@ def provider_status(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", email.provider_status(said).alias("status"), people.http_status_to_provider(code, F.col("o_orderkey") % 5 == 3).alias("outcome"))
 
 
-@query("waterfall_need", """SELECT o_orderkey, CASE WHEN k = 0 THEN CASE WHEN b THEN 'full' END WHEN k = 2 AND m THEN 'people' WHEN k > 2 AND b THEN 'full' END AS need,
-  CASE WHEN k = 0 THEN CASE WHEN b THEN 'PRIMARY' ELSE 'NOTHING_MISSING' END WHEN k = 1 THEN 'PROVIDER_SUCCESS' WHEN k = 2 AND m THEN 'PROVIDER_PARTIAL' WHEN k = 3 AND b THEN 'PROVIDER_NO_MATCH' WHEN k = 4 AND b THEN 'PROVIDER_ERROR' ELSE 'NOTHING_MISSING' END AS reason
-  FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 2 = 0 AS b, o_orderkey % 3 = 0 AS m FROM orders)""")
+@query("waterfall_need", """SELECT o_orderkey, CASE WHEN k = 0 THEN CASE WHEN b THEN 'full' END WHEN k = 2 AND m > 0 THEN 'people' WHEN k IN (3, 4) AND b THEN 'full' END AS need,
+  CASE WHEN k = 0 THEN CASE WHEN b THEN 'PRIMARY' ELSE 'NOTHING_MISSING' END WHEN k = 1 THEN 'ZOOMINFO PROVIDER_SUCCESS' WHEN k = 2 AND m = 1 THEN 'ZOOMINFO PROVIDER_PARTIAL: no PERSONAL email for Ann' WHEN k = 2 AND m = 2 THEN 'ZOOMINFO PROVIDER_PARTIAL: no PERSONAL email for Ann, ?'
+    WHEN k = 3 AND b THEN 'ZOOMINFO PROVIDER_NO_MATCH: AMBIGUOUS' WHEN k = 4 AND b THEN 'ZOOMINFO PROVIDER_ERROR' ELSE 'NOTHING_MISSING' END AS reason
+  FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 4 < 2 AS b, o_orderkey % 3 AS m FROM orders)""")
 def waterfall_need(spark, sf):
-    k = (F.col("o_orderkey") % 5).cast("int")
+    from leadloom.operators import enrichment
+
+    k = (F.col("o_orderkey") % 6).cast("int")
     status = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ["PROVIDER_SUCCESS", "PROVIDER_PARTIAL", "PROVIDER_NO_MATCH", "PROVIDER_ERROR"])), k)
-    rows = table(spark, sf, "orders").withColumn("w", matching.waterfall_need(k == 0, status, F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0))
-    return rows.select("o_orderkey", "w.need", "w.reason")
+    missing = F.slice(F.array(F.lit("Ann"), F.lit(None).cast("string")), F.lit(1), (F.col("o_orderkey") % 3).cast("int"))
+    below, reason = F.col("o_orderkey") % 4 < 2, F.when(k == 3, F.lit("AMBIGUOUS"))
+    provider = F.when(status.isNotNull(), F.lit("ZOOMINFO"))
+    later = enrichment.decide(False, status, provider, reason, below, missing)
+    w = F.when(k == 0, enrichment.decide(True, status, provider, reason, below, missing)).otherwise(later)
+    return table(spark, sf, "orders").withColumn("w", w).select("o_orderkey", "w.need", "w.reason")
 
 
 # --- matching -------------------------------------------------------------------------------------------------
@@ -127,12 +135,17 @@ def page_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(registry.visible(F.col("html"))).cast("long").alias("n_chars"))
 
 
-@query("page_blocked", f"""SELECT page_id, coalesce(status IN (401, 403, 429, 503), false) OR (NOT regexp_matches(html, '^\\s*(?:\\{{|\\[|<\\?xml)') AND (regexp_matches(lower(substr(html, 1, 4000)), 'captcha|cf-challenge|access denied|are you a robot|unusual traffic|perimeterx|datadome')
-  OR (page_id % 5 = 0 AND length(trim({_STRIP})) < 500))) AS blocked FROM (SELECT page_id, html, CASE page_id % 7 WHEN 0 THEN 403 WHEN 1 THEN 200 END AS status FROM pages)""")
+_ANY = lambda c, marks: "(" + " OR ".join(f"contains({c}, {lit(m)})" for m in marks) + ")"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<noscript\b.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query("page_blocked", rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, CASE page_id % 7 WHEN 0 THEN 407 WHEN 1 THEN 200 END AS status, page_id % 3 = 0 AS rendered FROM pages),
+m AS (SELECT *, lower(substr(html, 1, 4000)) AS head, lower(regexp_extract(substr(html, 1, 4000), '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, length(regexp_replace({_BARE}, '^\s+|\s+$', '', 'g')) AS shown, lower(substr(regexp_replace(html, '^\s+', ''), 1, 200)) AS opening FROM p)
+SELECT page_id, coalesce(status IN (401, 403, 407, 429, 503), false) OR NOT regexp_matches(html, '\S') OR {_ANY('head', vocab.BLOCK_STRONG)} OR {_ANY('title', vocab.BLOCK_WEAK)}
+  OR (NOT rendered AND NOT (starts_with(opening, '{{') OR starts_with(opening, '[') OR {_ANY('opening', vocab.DOCUMENT_ROOTS)}) AND (shown < 500 OR (shown < 1200 AND {_ANY('head', vocab.BLOCK_WEAK)}))) AS blocked FROM m""")
 def page_blocked(spark, sf):
-    status = F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 7 == 1, 200)
-    title = F.when(F.col("page_id") % 5 == 0, "Just a moment...")
-    return table(spark, sf, "pages").select("page_id", registry.blocked_page(F.col("html"), status, title).alias("blocked"))
+    status = F.when(F.col("page_id") % 7 == 0, 407).when(F.col("page_id") % 7 == 1, 200)
+    return table(spark, sf, "pages").select("page_id", registry.access_wall(F.col("html"), status, F.col("page_id") % 3 == 0).alias("blocked"))
 
 
 @query("page_people")

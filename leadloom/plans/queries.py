@@ -358,10 +358,16 @@ def discover_emails(spark, sf):
     return people.discover_emails(contacts(spark, sf), none, domains(spark, sf)).select("company_id", "email", "email_class", "name")
 
 
-@query("email_status", _SEEN + " SELECT company_id, count(*) FILTER (email_class = 'PERSONAL') AS n_personal, count(*) FILTER (email_class = 'ROLE') AS n_role, CASE WHEN count(*) FILTER (email_class = 'PERSONAL') > 0 THEN 'PERSONAL_FOUND' WHEN count(*) FILTER (email_class = 'ROLE') > 0 THEN 'ROLE_ONLY' ELSE 'UNVERIFIED_ONLY' END AS email_status FROM u WHERE k = 1 GROUP BY 1")
+_OWN = "count(*) FILTER (email_class IN ('PERSONAL', 'ROLE'))"
+
+
+@query("email_status", _SEEN + f""", s AS (SELECT company_id, count(*) FILTER (email_class = 'PERSONAL') AS n_personal, count(*) FILTER (email_class = 'ROLE') AS n_role, CASE WHEN {_OWN} > 1 THEN 'MULTIPLE_EMAILS_FOUND'
+  WHEN count(*) FILTER (email_class = 'PERSONAL') > 0 THEN 'PERSONAL_EMAIL_FOUND' WHEN count(*) FILTER (email_class = 'ROLE') > 0 THEN 'ROLE_EMAIL_FOUND' ELSE 'LOW_CONFIDENCE_EMAIL_FOUND' END AS email_status FROM u WHERE k = 1 GROUP BY 1)
+SELECT d.company_id, coalesce(n_personal, 0) AS n_personal, coalesce(n_role, 0) AS n_role, coalesce(email_status, 'NO_PUBLIC_EMAIL_FOUND') AS email_status FROM ({DOMAINS}customer) d LEFT JOIN s USING (company_id)""")
 def email_status(spark, sf):
     none = contacts(spark, sf).where("false").select("company_id", "ord", "email")
-    return people.email_status(people.discover_emails(contacts(spark, sf), none, domains(spark, sf))).select("company_id", "n_personal", "n_role", "email_status")
+    seen = people.discover_emails(contacts(spark, sf), none, domains(spark, sf))
+    return people.email_status(seen, domains(spark, sf)).select("company_id", "n_personal", "n_role", "email_status")
 
 
 @query("only_new_emails", _SEEN + " SELECT company_id, email FROM u WHERE k = 1 AND email NOT IN (SELECT email FROM v WHERE ord % 5 = 0)")
@@ -401,18 +407,25 @@ def budget_prefix(spark, sf):
     return people.budget_prefix(table(spark, sf, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25).select("o_orderkey")
 
 
-_VERIFY = f"""{SQL_PEOPLE}, a AS (SELECT ord AS seq, lower(email) AS email, email_class FROM c), f AS (SELECT DISTINCT email, seq % 3 = 0 AS cached FROM (SELECT email, min(seq) AS seq FROM a WHERE email IS NOT NULL GROUP BY 1)),
-ask AS (SELECT email FROM a LEFT JOIN f USING (email) WHERE email_class IN ('PERSONAL', 'ROLE') AND NOT coalesce(cached, false) GROUP BY email ORDER BY min(seq) LIMIT 50)
-SELECT seq, CASE WHEN NOT coalesce(email_class IN ('PERSONAL', 'ROLE'), false) THEN 'SKIPPED' WHEN cached THEN 'VALID' WHEN ask.email IS NOT NULL THEN 'RISKY' ELSE 'NOT_CHECKED' END AS status FROM a LEFT JOIN f USING (email) LEFT JOIN ask USING (email)"""
+#: Every address's recorded answer by its first sighting, what the store knows of it, and the run's budget of 50 calls in order.
+_VERIFY = f"""{SQL_PEOPLE}, a AS (SELECT ord AS seq, lower(trim(email)) AS e, email_class FROM c), f AS (SELECT e, min(seq) AS f FROM a WHERE e IS NOT NULL GROUP BY 1),
+r AS (SELECT a.seq, a.e, a.email_class, f.f % 3 = 0 AS cached, f.f % 10 AS k, coalesce(email_class IN ('PERSONAL', 'ROLE'), false) AS trusted FROM a LEFT JOIN f USING (e)),
+o AS (SELECT *, e IS NOT NULL AND trusted AND NOT cached AS open_, k = 5 AS pending FROM r), n AS (SELECT e, min(seq) AS n FROM o WHERE open_ GROUP BY 1),
+w AS (SELECT o.*, n.n, open_ AND (seq = n.n OR pending) AS asks FROM o LEFT JOIN n USING (e)), l AS (SELECT max(seq) AS last FROM (SELECT seq FROM w WHERE asks ORDER BY seq LIMIT 50))
+SELECT seq, CASE WHEN e IS NULL THEN NULL WHEN NOT trusted THEN 'SKIPPED' WHEN cached THEN 'VALID' WHEN n <= last AND NOT pending THEN CASE k % 3 WHEN 0 THEN 'RISKY' WHEN 1 THEN 'INVALID' ELSE 'UNKNOWN' END ELSE 'PENDING' END AS status,
+  CASE WHEN e IS NULL THEN NULL WHEN NOT trusted THEN 'EMAIL_CLASS:' || email_class WHEN cached OR (n <= last AND NOT pending) THEN NULL WHEN seq <= last THEN 'UNRECOGNIZED_STATUS:odd' ELSE 'BUDGET_EXHAUSTED' END AS reason FROM w, l"""
 
 
 @query("verify_emails", _VERIFY)
 def verify_emails(spark, sf):
     rows = contacts(spark, sf).join(domains(spark, sf), "company_id", "left").select(F.col("ord").alias("seq"), "company_id", "email", email.classify_email(F.col("email"), F.col("domain")).alias("email_class"))
-    first = rows.where("email is not null").groupBy(F.lower("email").alias("email")).agg(F.min("seq").alias("seq"))
+    first = rows.where("email is not null").groupBy(F.lower(F.trim("email")).alias("email")).agg(F.min("seq").alias("seq"))
     cache = first.where("seq % 3 = 0").select("email", F.lit("VALID").alias("status"), (now() - F.expr("INTERVAL 5 DAYS")).alias("checked_at"))
-    recorded = first.select("email", F.lit("catch-all").alias("provider_status"))
-    return people.verify(rows, cache, recorded, now()).select("seq", "status")
+    old = first.where("seq % 3 = 1").select("email", F.lit("VALID").alias("status"), (now() - F.expr("INTERVAL 31 DAYS")).alias("checked_at"))
+    k = (F.col("seq") % 10).cast("int")
+    said = F.when(k == 5, F.lit("odd")).otherwise(F.get(F.array(*map(F.lit, ["Catch-All", "invalid", "unknown"])), k % 3))
+    recorded = first.select("email", F.lit(200).alias("code"), F.lit(False).alias("timed_out"), F.lit(None).cast("string").alias("error"), said.alias("provider_status"))
+    return people.verify(rows, cache.unionByName(old), recorded, now()).select("seq", "status", "reason")
 
 
 @query("doc_emails", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}'))), ',') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]')")
@@ -502,6 +515,10 @@ def hiring_history(spark, sf):
     return tables.observed_days(rows).withColumnRenamed("company", "user_id")
 
 
+#: What the verifier's log says of an address, by its last sighting.
+LOGGED = ["VALID", "RISKY", "UNKNOWN", "PENDING"]
+
+
 def leads(spark: SparkSession, sf: str) -> DataFrame:
     """Final leads over companies made of customers, contacts of orders and jobs of orders."""
     c = table(spark, sf, "customer")
@@ -512,15 +529,16 @@ def leads(spark: SparkSession, sf: str) -> DataFrame:
     mails = people.discover_emails(people_, none, domains(spark, sf))
     jobs = people_.select(F.col("ord").alias("id"), "company_id", "title", F.lit(None).cast("string").alias("evidence_url"), "source_type")
     evidence = people_.where("false").select(F.col("ord").alias("id"), F.lit("company").alias("record_type"), F.col("company_id").alias("record_id"), F.lit("").alias("key"), F.lit("").alias("value"), F.lit("").alias("url"))
-    logs = people_.where("email is not null").select(F.col("ord").alias("id"), "company_id", "email", F.when(F.col("ord") % 2 == 0, "VALID").otherwise("RISKY").alias("status"), F.col("ord").alias("created_at"))
+    told = F.get(F.array(*map(F.lit, LOGGED)), (F.col("ord") % 4).cast("int"))
+    logs = people_.where("email is not null").select(F.col("ord").alias("id"), "company_id", "email", told.alias("status"), F.col("ord").alias("created_at"))
     calls = people_.where("false").select(F.col("ord").alias("id"), "company_id", F.lit("").alias("provider"), F.lit("").alias("status"), F.lit(0.0).alias("credit_cost"))
     return tables.final_leads(companies, ranked, mails, jobs, evidence, logs, calls)
 
 
-_LEADS = f"""{SQL_PEOPLE}, logs AS (SELECT company_id, lower(email) AS e, arg_max(CASE WHEN ord % 2 = 0 THEN 'VALID' ELSE 'RISKY' END, ord) AS verification_status FROM p WHERE email IS NOT NULL GROUP BY 1, 2),
+_LEADS = f"""{SQL_PEOPLE}, logs AS (SELECT company_id, lower(email) AS e, arg_max(CASE ord % 4 WHEN 0 THEN 'VALID' WHEN 1 THEN 'RISKY' WHEN 2 THEN 'UNKNOWN' ELSE 'PENDING' END, ord) AS verification_status FROM p WHERE email IS NOT NULL GROUP BY 1, 2),
 q AS (SELECT poc.*, verification_status FROM poc LEFT JOIN logs ON logs.company_id = poc.company_id AND logs.e = lower(poc.email) WHERE poc_rank <= 100),
-m AS (SELECT company_id, count(*) AS mails FROM p WHERE email IS NOT NULL GROUP BY 1),
-s AS (SELECT d.company_id, CASE WHEN count(q.email) > 0 THEN 'READY' WHEN count(q.ord) > 0 OR coalesce(any_value(mails), 0) > 0 THEN 'PARTIAL' ELSE 'NO_CONTACT' END AS lead_status, count(q.ord) AS pocs FROM ({DOMAINS}customer) d LEFT JOIN q USING (company_id) LEFT JOIN m USING (company_id) GROUP BY 1)"""
+s AS (SELECT d.company_id, CASE WHEN count(*) FILTER (q.email IS NOT NULL AND q.email_class = 'PERSONAL' AND verification_status = 'VALID') > 0 THEN 'READY'
+  WHEN count(*) FILTER (q.email IS NOT NULL AND q.email_class = 'PERSONAL' AND coalesce(verification_status, 'PENDING') IN ('PENDING', 'UNKNOWN')) > 0 THEN 'PENDING_VERIFICATION' ELSE 'NO_VERIFIED_POC_EMAIL' END AS lead_status, count(q.ord) AS pocs FROM ({DOMAINS}customer) d LEFT JOIN q USING (company_id) GROUP BY 1)"""
 
 
 @query("lead_status", _LEADS + " SELECT company_id, lead_status, pocs FROM s")

@@ -5,12 +5,14 @@ A source reads recorded rows; limits, validation and first-sighting rules are Da
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom import vocab
 from leadloom.functions import dates, location
 from leadloom.operators.coverage import first_seen
 from leadloom.operators.normalize import schema_problems
@@ -96,7 +98,7 @@ def visible(html: Column) -> Column:
 
 
 def blocked_page(html: Column, status: Column, title: Column) -> Column:
-    """Whether a page is an access wall: by status, strong marks near its start, or weak marks on a nearly empty page."""
+    """A quick look at a page whose title is known apart from it: by status and a few marks.  ``access_wall`` is the full rule."""
     head = F.lower(F.substring(html, 1, 4000))
     strong = head.rlike("captcha|cf-challenge|access denied|are you a robot|unusual traffic|perimeterx|datadome")
     weak = F.lower(F.coalesce(title, F.lit(""))).rlike("just a moment|attention required|blocked|forbidden|verify")
@@ -104,6 +106,34 @@ def blocked_page(html: Column, status: Column, title: Column) -> Column:
     return F.coalesce(status.isin(401, 403, 429, 503), F.lit(False)) | (~data & (strong | (weak & (F.length(visible(html)) < 500))))
 
 
+def _any(c: Column, marks: list[str]) -> Column:
+    return c.rlike("|".join(map(re.escape, marks)))
+
+
+def access_wall(html: Column, status: Column, rendered: Column | None = None) -> Column:
+    """Whether a page is an access wall or holds nothing: by status, by marks near its start or in its title, or by too little text.
+
+    A page that a browser has rendered is as short as it looks; JSON documents and sitemaps are short by nature.
+    """
+    text = F.coalesce(html, F.lit(""))
+    start = F.substring(text, 1, vocab.BLOCK_HEAD)
+    head = F.lower(start)
+    title = F.lower(F.regexp_extract(start, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style|noscript)\b.*?</\1>", " "), "<[^>]+>", " ")
+    shown = F.length(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""))
+    opening = F.lower(F.substring(F.regexp_replace(F.substring(text, 1, 2000), r"(?U)^\s+", ""), 1, 200))
+    document = opening.startswith("{") | opening.startswith("[") | _any(opening, vocab.DOCUMENT_ROOTS)
+    walled = F.coalesce(status.isin(vocab.BLOCK_STATUS), F.lit(False)) | ~text.rlike(r"(?U)\S") | _any(head, vocab.BLOCK_STRONG) | _any(title, vocab.BLOCK_WEAK)
+    thin = (shown < vocab.LEAST_TEXT) | ((shown < vocab.WEAK_TEXT) & _any(head, vocab.BLOCK_WEAK))
+    seen = F.coalesce(rendered, F.lit(False)) if rendered is not None else F.lit(False)
+    return walled | (~seen & ~document & thin)
+
+
+def page_ok(html: Column, blocked: Column, status: Column) -> Column:
+    """Whether a recorded page can be read: it has a body, is no wall and its status is no error."""
+    return (F.coalesce(F.length(html), F.lit(0)) > 0) & ~F.coalesce(blocked, F.lit(False)) & (status.isNull() | (status < 400))
+
+
 def applicant_count(page: Column) -> Column:
     """Applicants that a posting's page states, or null."""
     n = F.regexp_extract(F.lower(page), r"(?:over |first )?(\d{1,3}(?:,\d{3})*|\d+)\s+applicants?", 1)

@@ -144,5 +144,73 @@ class Settings:
     verification_refresh_days: int = 30
     verification_max_per_run: int = 50
     max_companies_per_run: int = 25
+    contacts_max_companies: int = 40
+    verification_enabled: bool = True
+    person_lookups: int = 3
+    domain_max_candidates: int = 4
+    domain_max_per_run: int = 150
+    subdomain_max_hosts: int = 3
+    detail_pages: int = 10
+    pages_per_query: int = 25
+    results_per_query: int = 1000
+    full_snapshot: bool = False
     source_max_calls: int = 60
     title_variants: int = 5
+
+# --- fixed values of pages ------------------------------------------------------------------------------------
+
+#: Statuses that mean an access wall; marks that only such pages carry near their start; marks that count
+#: in a title or on a page that is nearly empty; beginnings of documents that are short by nature.
+BLOCK_STATUS = [401, 403, 407, 429, 503]
+BLOCK_STRONG = [
+    "cf-chl-", "cf_chl_opt", "__cf_chl", "/cdn-cgi/challenge-platform", "just a moment...", "attention required! | cloudflare", "checking your browser before accessing", "ddos-guard",
+    "please verify you are a human", "are you a robot", "unusual traffic from your computer network", "access to this page has been denied", "px-captcha", "perimeterx",
+    "incapsula incident id", "request unsuccessful. incapsula", "captcha-delivery.com", "g-recaptcha", "h-captcha", "hcaptcha.com/captcha", "bots use duckduckgo",
+    "complete the following challenge", "confirm this search was made by a human", "select all squares containing", "our systems have detected unusual traffic",
+]
+BLOCK_WEAK = ["access denied", "403 forbidden", "blocked", "enable javascript", "javascript is required", "captcha"]
+DOCUMENT_ROOTS = ["<?xml", "<urlset", "<sitemapindex"]
+BLOCK_HEAD, LEAST_TEXT, WEAK_TEXT = 4000, 500, 1200
+
+#: Words of a path that make a page about people, and of paths that never are one.
+PEOPLE_PAGE_WORDS = ["team", "leadership", "about", "management", "executive", "executives", "people", "staff"]
+NON_PEOPLE_SEGMENTS = ["blog", "blogs", "post", "posts", "news", "article", "articles", "press", "event", "events", "category", "tag", "careers", "career", "jobs", "job", "apply"]
+CONTACT_PATH_TOKENS = ["contact", "team", "leadership", "management", "our-people", "people", "staff", "about-us", "who-we-are", "executive", "directory"]
+COMPANY_SITE_PATHS = [
+    "/leadership", "/team", "/our-team", "/management", "/about-us", "/about", "/company", "/who-we-are", "/staff", "/contact", "/contact-us", "/", "/leadership-team", "/our-people",
+    "/people", "/executive-team", "/meet-the-team", "/careers", "/contact/", "/about/leadership",
+]
+BOARD_HOSTS = ["indeed.com", "linkedin.com", "ziprecruiter.com", "glassdoor.com", "monster.com", "simplyhired.com", "google.com"]
+ATS_HOSTS = ["greenhouse.io", "lever.co", "ashbyhq.com", "myworkdayjobs.com", "smartrecruiters.com", "workable.com", "bamboohr.com", "icims.com"]
+SUBDOMAIN_FIRST = ["careers", "jobs", "hr", "employment"]
+SUBDOMAIN_SECOND = ["about", "company", "team", "people", "work"]
+BLOCKED_HOSTS = ["localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "metadata", "metadata.google.internal", "metadata.goog", "instance-data"]
+BLOCKED_SUFFIXES = [".localhost", ".local", ".internal", ".localdomain"]
+
+#: Words that no person's name holds; words of a heading or an organisation; words of a sentence.
+NOT_NAME_WORDS = [
+    "email", "e-mail", "mail", "us", "here", "click", "contact", "call", "text", "message", "send", "reply", "apply", "now", "more", "info", "support", "help", "team", "sales", "careers",
+    "jobs", "hr", "form", "learn", "read", "view", "download", "subscribe", "login", "sign", "chat", "today", "free", "get", "start", "request", "submit", "phone",
+]
+NOT_PERSON_WORDS = [
+    "our", "meet", "leadership", "management", "executive", "executives", "staff", "about", "company", "board", "directors", "officers", "welcome", "team", "llc", "inc", "corp", "corporation",
+    "co", "group", "services", "solutions", "construction", "electric", "industries", "industrial", "holdings", "department", "division", "office", "operations", "careers", "home",
+]
+SENTENCE_WORDS = [
+    "the", "is", "are", "was", "were", "we", "our", "you", "your", "if", "can", "will", "this", "that", "please", "to", "with", "it", "be", "a", "an", "has", "have", "just", "may",
+    "should", "site", "page", "website", "click", "contact", "email", "call", "who", "what", "when", "how", "not",
+]
+TITLE_WORDS = ["vice", "officer", "director", "manager", "chief", "head", "senior", "sr", "vp"]
+ERROR_TITLES = ["not found", "404", "error", "access denied", "forbidden", "just a moment", "attention required", "unavailable", "cloudflare", "captcha"]
+
+# --- fixed values of providers, leads and titles ------------------------------------------------------------------
+
+#: Codes of a provider's answer that stand for failure, and those after which it is not asked again in a run.
+PROVIDER_FAILURES = ["PROVIDER_NO_MATCH", "PROVIDER_ERROR", "PROVIDER_TIMEOUT", "PROVIDER_RATE_LIMITED", "PROVIDER_UNAVAILABLE"]
+PROVIDER_STOPS = ["PROVIDER_RATE_LIMITED", "PROVIDER_UNAVAILABLE"]
+LEAD_STATUSES = ["READY", "PENDING_VERIFICATION", "NO_VERIFIED_POC_EMAIL"]
+STOP_TITLES = [
+    "manager", "supervisor", "director", "engineer", "technician", "operator", "specialist", "coordinator", "analyst", "assistant", "associate", "clerk", "worker", "helper", "laborer",
+    "owner", "president", "officer", "consultant",
+]
+EXCLUDED_SOC_MAJOR = "15-0000"
