@@ -59,25 +59,35 @@ def domain_from_email(email: Column) -> Column:
 
 
 def resolve_domain(website: Column, company_url: Column, application_url: Column, apply_url: Column, emails: Column) -> Column:
-    """struct(domain, source) from the strongest evidence; ('', 'NONE') without any."""
-    hosts = F.transform(F.coalesce(emails, F.array().cast("array<string>")), email_host)
-    domains = F.transform(F.concat(F.array(website, company_url, application_url, apply_url), hosts), normalize_domain)
-    sources = F.array(*map(F.lit, vocab.DOMAIN_SOURCES))
-    named = F.transform(domains, lambda d, i: F.struct(d.alias("domain"), F.get(sources, F.least(i, F.lit(4))).alias("source")))
-    return F.coalesce(F.get(F.filter(named, lambda d: d["domain"] != ""), F.lit(0)), F.struct(F.lit("").alias("domain"), F.lit("NONE").alias("source")))
+    """struct(domain, source) from the strongest evidence; ('', 'NONE') without any.
+
+    Weaker evidence is only looked at where the stronger has given nothing.
+    """
+    named = lambda domain, source: F.struct(domain.alias("domain"), F.lit(source).alias("source"))
+    some = lambda value, source: let(normalize_domain(value), lambda d: F.when(d != "", named(d, source)))
+    links = [F.when(F.coalesce(u, F.lit("")) != "", some(u, source)) for u, source in zip((website, company_url, application_url, apply_url), vocab.DOMAIN_SOURCES, strict=False)]
+    hosts = F.transform(emails, lambda e: normalize_domain(email_host(e)))
+    mailed = F.when(F.size(F.coalesce(emails, F.array().cast("array<string>"))) > 0, let(F.get(F.filter(hosts, lambda d: d != ""), F.lit(0)), lambda d: F.when(d.isNotNull(), named(d, vocab.DOMAIN_SOURCES[4]))))
+    return F.coalesce(*links, mailed, named(F.lit(""), "NONE"))
 
 
 def source_ids(company_url: Column, application_url: Column, apply_url: Column, platform: Column | None = None, ats_id: Column | None = None) -> Column:
-    """Sorted distinct ``family:identifier`` strings."""
-    found = []
-    for url in (company_url, application_url, apply_url):
+    """Sorted distinct ``family:identifier`` strings; a link that fits no family is matched once."""
+    any_family = "(?i)" + "|".join(f"(?:{pattern})" for _, pattern in vocab.SOURCE_ID_PATTERNS)
+    empty = F.array().cast("array<string>")
+
+    def of_link(url: Column) -> Column:
+        found = []
         for family, pattern in vocab.SOURCE_ID_PATTERNS:
-            raw = F.regexp_extract(F.coalesce(url, F.lit("")), f"(?i){pattern}", 1)
+            raw = F.regexp_extract(url, f"(?i){pattern}", 1)
             name = F.lower(F.trim(F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)))
             found.append(F.when(raw != "", F.concat(F.lit(f"{family}:"), name)))
+        return F.when(url.rlike(any_family), F.array_compact(F.array(*found))).otherwise(empty)
+
+    parts = [of_link(u) for u in (company_url, application_url, apply_url)]
     if platform is not None and ats_id is not None:
-        found.append(F.when((platform == "paylocity") & ats_id.contains(":"), F.concat(F.lit("paylocity:"), F.lower(F.substring_index(ats_id, ":", 1)))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+        parts.append(F.when((platform == "paylocity") & ats_id.contains(":"), F.array(F.concat(F.lit("paylocity:"), F.lower(F.substring_index(ats_id, ":", 1))))).otherwise(empty))
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
 def visit_key(url: Column) -> Column:

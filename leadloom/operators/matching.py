@@ -6,7 +6,7 @@ A wrong match is worse than none, so anything short of one clear candidate is AM
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom import vocab
@@ -24,19 +24,32 @@ def location_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(parts, states), lambda t: F.length(t) >= 2))
 
 
+def _told(rows: DataFrame, name: str) -> DataFrame:
+    """(name, m, w): each telling word of each name, and all of them as one word, which is marked by a blank before it."""
+    tokens = F.array_distinct(text.name_tokens(F.col(name)))
+    joined = F.concat(F.lit(" "), F.array_join(text.name_tokens(F.col(name)), ""))
+    return rows.select(name).distinct().select(name, F.size(tokens).alias("m"), F.explode(F.concat(tokens, F.array(joined))).alias("w"))
+
+
+def _rare_first(words: DataFrame, often: DataFrame, name: str) -> DataFrame:
+    """words and rare: so many of a name's rarest words that any name similar enough, if it has no fewer words, shares one of them."""
+    place = F.row_number().over(Window.partitionBy(name).orderBy("often", "w"))  # a name's few words
+    ranked = words.join(often, "w").withColumn("k", F.when(F.col("w").startswith(" "), F.lit(0)).otherwise(place))
+    return ranked.select(name, "w", (F.col("k") <= F.floor(F.col("m") * 0.26) + 2).alias("rare"))
+
+
 def match_directory(names: DataFrame, directory: DataFrame) -> DataFrame:
     """names(name, location) and status, url, matched_name, confidence, reason from directory(dir_name, slug, dir_url, dir_location).
 
-    Candidates share a telling word, or are the name's own slug, and have a similarity of 0.75 or more.  An exact
-    slug settles it; then one candidate whose place agrees; two such, contradicting places, or a name alone are AMBIGUOUS.
+    Candidates have a similarity of 0.75 or more; they are found by the rarest words of either name, so a word that
+    many names hold pairs nobody by itself.  An exact slug settles it; then one candidate whose place agrees; two such, contradicting places, or a name alone are AMBIGUOUS.
     """
     asked = names.groupBy("name").agg(F.max("location").alias("location")).where("name <> ''")
-    squeezed = lambda c: F.array_join(text.name_tokens(c), "")
-    words = lambda c: F.explode(F.array_distinct(F.concat(text.name_tokens(c), F.array(squeezed(c)))))
-    a = asked.select("name", "location", words(F.col("name")).alias("w"))
-    slug = F.explode(F.array_distinct(F.array_compact(F.concat(text.name_tokens(F.col("dir_name")), F.array(squeezed(F.col("dir_name")), F.lower("slug"))))))
-    b = directory.where("dir_url is not null").select("dir_name", "slug", "dir_url", "dir_location", slug.alias("w"))
-    met = a.join(b, "w").select("name", "location", "dir_name", "slug", "dir_url", "dir_location").distinct()
+    a, b = _told(asked, "name"), _told(directory.where("dir_url is not null").select("dir_name", "slug", "dir_url", "dir_location").distinct(), "dir_name")
+    often = a.select("w").unionByName(b.select("w")).groupBy("w").agg(F.count("*").alias("often"))
+    a, b = _rare_first(a, often, "name"), _rare_first(b, often, "dir_name")
+    pairs = a.where("rare").select("name", "w").join(b.select("dir_name", "w"), "w").unionByName(a.select("name", "w").join(b.where("rare").select("dir_name", "w"), "w")).select("name", "dir_name").distinct()
+    met = pairs.join(asked, "name").join(directory.where("dir_url is not null").select("dir_name", "slug", "dir_url", "dir_location").distinct(), "dir_name")
     met = met.withColumn("similarity", text.name_similarity(F.col("name"), F.col("dir_name"))).where(F.col("similarity") >= LEAST_SIMILARITY)
     where = F.trim(F.coalesce("dir_location", F.lit("")))
     met = met.withColumn("agrees", (where != "") & F.arrays_overlap(location_tokens(F.col("location")), location_tokens(F.col("dir_location")))).withColumn("placed", where != "")

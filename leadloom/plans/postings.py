@@ -50,9 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores: one that has fewer partitions than cores, as of a table in one small file, is dealt anew; others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived postings with the columns of a raw job."""
-    df = spark.sql(POSTINGS.replace("FROM lineitem l JOIN orders o", "FROM {lineitem} l JOIN {orders} o").replace("JOIN customer c", "JOIN {customer} c"), lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    df = spark.sql(POSTINGS.replace("FROM lineitem l JOIN orders o", "FROM {lineitem} l JOIN {orders} o").replace("JOIN customer c", "JOIN {customer} c"), lineitem=spread(table(spark, sf_dir, "lineitem")), orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
     return df.selectExpr("*", "CAST(array() AS array<string>) AS observed_emails", "CAST(NULL AS string) AS ats_platform", "CAST(NULL AS string) AS company_industry", "CAST(map() AS map<string,string>) AS raw", "named_struct('source_date_window_hours', window_hours) AS provenance")
 
 

@@ -145,7 +145,7 @@ def _scope(spark, sf):
 
 @query("dedupe_same_source", CTES + DEDUPE + " SELECT best AS kept_ord, count(*) AS copies FROM same GROUP BY 1")
 def dedupe_same_source(spark, sf):
-    rows = dedupe.same_source(Scratch(spark, "dedupe").save(_scope(spark, sf), "postings"))
+    rows = dedupe.same_source(Scratch(spark, "dedupe").save(_scope(spark, sf).select("ord", "source_site", "external_id", "posted_at", "source_priority", "description"), "postings"))
     return rows.groupBy(F.coalesce("dup_of", "ord").alias("kept_ord")).agg(F.count("*").alias("copies"))
 
 
