@@ -73,9 +73,17 @@ def final_leads(companies: DataFrame, pocs: DataFrame, emails: DataFrame, jobs:
 
     pocs come from rank_pocs with ``id``; a poc's verification is the newest log of its address.
     """
-    newest = latest(verification.withColumn("e", F.lower("email")), ["company_id", "e"], "created_at", "id").select("company_id", "e", F.col("status").alias("verification_status"))
+    none = F.lit(None).cast("string")
+    logged = verification if "sub_status" in verification.columns else verification.withColumn("sub_status", none)
+    newest = latest(logged.withColumn("e", F.lower("email")), ["company_id", "e"], "created_at", "id").select("company_id", "e", F.col("status").alias("verification_status"), F.col("sub_status").alias("verification_sub_status"), F.col("created_at").cast("string").alias("verified_at"))
     people = pocs.withColumn("e", F.lower("email")).join(newest, ["company_id", "e"], "left")
-    nest_pocs = _nested(people, "company_id", ["poc_rank", "name", "title", "title_priority", "email", "email_class", "verification_status"], "pocs", 100, "poc_rank")
+    for c in ("contact_id", "discovery_stage", "origin", "profile_url"):
+        people = people if c in people.columns else people.withColumn(c, none)
+    seen = evidence.where("record_type = 'contact' and url is not null").select(F.col("record_id").alias("contact_id"), "url", "id")
+    seen = _capped(seen, "contact_id", "id", 50).groupBy("contact_id").agg(F.array_sort(F.collect_set("url")).alias("evidence_urls"))
+    people = people.join(seen, "contact_id", "left")
+    told = ["poc_rank", "name", "title", "title_priority", "email", "email_class", "verification_status", "verification_sub_status", "verified_at", "source_type", "discovery_stage", "origin", "profile_url", "evidence_urls"]
+    nest_pocs = _nested(people, "company_id", told, "pocs", 100, "poc_rank")
     parts = [
         nest_pocs,
         _nested(emails, "company_id", ["email", "email_class"], "emails", 200, "obs_ord"),
@@ -128,5 +136,38 @@ def export_rows(leads: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of the export, in order.
+CSV_COLUMNS = [
+    "lead_status", "company_name", "domain", "website", "location", "client_industry", "employee_size_min", "employee_size_max", "employee_size_source", "domain_confidence", "domain_source",
+    "qualification_status", "qualification_score", "qualification_reasons", "review_flags", "hiring_intensity", "min_applicant_count", "job_titles", "job_evidence_urls", "company_emails",
+    "poc_rank", "contact_name", "contact_title", "contact_priority", "contact_email", "email_class", "verification_status", "verification_sub_status", "verified_at", "contact_source_type",
+    "contact_discovery_stage", "contact_origin", "contact_evidence_urls", "contact_profile_url",
+]
+
+
+def joined(c: Column) -> Column:
+    """A list as text, parts parted by '; '; null for an empty one."""
+    return F.nullif(F.array_join(c, "; "), F.lit(""))
+
+
+def csv_rows(leads: DataFrame) -> DataFrame:
+    """The export's columns as text: a row a ranked person, or one for a lead without any.  Facts that leads lack are null."""
+    have = lambda c: F.col(c) if c in leads.columns else F.lit(None)
+    facts = {c: have(c) for c in CSV_COLUMNS[2:13] + ["hiring_intensity", "min_applicant_count"]} | {
+        "lead_status": F.col("lead_status"), "company_name": F.coalesce("display_name", have("normalized_name").cast("string")),
+        "qualification_reasons": joined(have("qualification_reasons").cast("array<string>")), "review_flags": joined(have("review_flags").cast("array<string>")),
+        "job_titles": joined(F.array_sort(F.array_distinct(F.filter(F.transform("jobs", lambda j: j["title"]), lambda t: F.coalesce(t, F.lit("")) != "")))),
+        "job_evidence_urls": joined(F.filter(F.transform("jobs", lambda j: j["evidence_url"]), lambda u: F.coalesce(u, F.lit("")) != "")),
+        "company_emails": joined(F.transform(F.filter("emails", lambda e: F.coalesce(e["email"], F.lit("")) != ""), lambda e: F.concat(e["email"], F.lit(" ("), F.coalesce(e["email_class"], F.lit("None")), F.lit(")")))),
+    }
+    rows = leads.select(*(c.alias(n) for n, c in facts.items()), F.explode_outer("pocs").alias("p"))
+    person = {
+        "poc_rank": "poc_rank", "contact_name": "name", "contact_title": "title", "contact_priority": "title_priority", "contact_email": "email", "email_class": "email_class", "verification_status": "verification_status",
+        "verification_sub_status": "verification_sub_status", "verified_at": "verified_at", "contact_source_type": "source_type", "contact_discovery_stage": "discovery_stage", "contact_origin": "origin", "contact_profile_url": "profile_url",
+    }
+    out = {n: F.col(n) for n in facts} | {n: F.col(f"p.{c}") for n, c in person.items()} | {"contact_evidence_urls": joined(F.col("p.evidence_urls"))}
+    return rows.select(*(out[c].cast("string").alias(c) for c in CSV_COLUMNS))
+
+
 def export_csv(leads: DataFrame, path: str) -> None:
-    export_rows(leads).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    csv_rows(leads).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)

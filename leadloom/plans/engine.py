@@ -157,7 +157,7 @@ class Engine:
         to_check = classed.select(F.struct("turn", "ord").alias("seq"), "company_id", "contact_id", "email", "email_class")
         run.stages["verified"] = checked = scratch.save(people.verify(to_check, known("checked"), known("answers"), now, s), "verified")
         logs = checked.where("status is not null").select(F.xxhash64("contact_id").alias("id"), "company_id", "email", "status", now.alias("created_at"))
-        pocs = people.rank_pocs(found.select("company_id", "ord", "contact_id", "name", "title", "email", "source_type", "rank_score"), domains)
+        pocs = people.rank_pocs(found.join(contacts.select("company_id", F.col("place").cast("long").alias("ord"), "discovery_stage"), ["company_id", "ord"], "left").select("company_id", "ord", "contact_id", "name", "title", "email", "source_type", "rank_score", "discovery_stage", "origin", "profile_url"), domains)
         jobs_ = jobs.select(F.col("ord").alias("id"), "company_id", "title", "evidence_url", "source_type")
         proof = projections.posting_evidence(jobs).unionByName(projections.contact_evidence(contacts)).unionByName(projections.email_evidence(seen.withColumn("evidence_url", F.lit(None).cast("string")).withColumn("source_type", F.lit("PUBLIC_WEB"))).drop("raw_payload"))
         run.stages["evidence"] = proof = proof.unionByName(projections.provenance_evidence(found.select("contact_id", "fields")))

@@ -12,7 +12,7 @@ from leadloom import vocab
 from leadloom.functions import email, pages, url
 from leadloom.operators import coverage, discovery, enrichment, people, projections, tables, taxonomy
 from leadloom.plans.postings import CTES, lit, normalized, sql_host, table
-from leadloom.plans.queries import SQL_PEOPLE, contacts, domains, now, query
+from leadloom.plans.queries import _LEADS, SQL_PEOPLE, contacts, domains, leads, now, query
 from leadloom.scratch import Scratch
 
 def given(spark, sf: str, sql: str, name: str) -> DataFrame:
@@ -275,6 +275,14 @@ def run_report(spark, sf):
     return projections.report({"A": rows})
 
 
+@query("csv_rows", _LEADS + """, j AS (SELECT company_id, list_sort(list_distinct(list(title ORDER BY ord)[:50])) AS titles, count(*) AS n FROM p GROUP BY 1)
+SELECT s.company_id, lead_status, array_to_string(j.titles, '; ') AS job_titles, poc_rank::VARCHAR AS poc_rank, name AS contact_name, tier::VARCHAR AS contact_priority, source_type AS contact_source_type, verification_status FROM s LEFT JOIN q USING (company_id) LEFT JOIN j USING (company_id)""")
+def csv_rows(spark, sf):
+    """The export over every company; a company has at most fifty jobs here, so titles are all of them."""
+    rows = tables.csv_rows(leads(spark, sf).withColumn("website", F.col("company_id")))
+    return rows.select(F.col("website").alias("company_id"), "lead_status", "job_titles", "poc_rank", "contact_name", "contact_priority", "contact_source_type", "verification_status")
+
+
 @query("audit_rows", "SELECT 'LEADS' AS stage, o_orderstatus AS event, count(*) AS n FROM orders GROUP BY ALL")
 def audit_rows(spark, sf):
     return projections.audit_rows(table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")), "LEADS", now()).select("stage", "event", "n")

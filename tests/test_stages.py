@@ -240,6 +240,10 @@ def test_from_postings_to_leads(spark):
     assert engine.company_emails(done, acme).count() == 4
     csv = tables.export_rows(done.stages["final"]).where("display_name like 'Acme%'").orderBy("poc_rank").collect()
     assert [r.poc_name for r in csv] == ["Ann Lee", "Bob Ray"]
+    rows = {r.contact_name: r for r in tables.csv_rows(done.stages["final"].where("display_name like 'Acme%'")).collect()}
+    assert len(tables.CSV_COLUMNS) == 34 and list(rows["Ann Lee"].asDict()) == tables.CSV_COLUMNS
+    assert (rows["Ann Lee"].employee_size_min, rows["Ann Lee"].job_titles, rows["Ann Lee"].contact_evidence_urls) == ("51", "Plant Manager; Welder", "https://www.acme-mfg.com/leadership")
+    assert "ann.lee@acme-mfg.com (PERSONAL)" in rows["Ann Lee"].company_emails and rows["Bob Ray"].contact_origin == "PUBLIC+ZOOMINFO"
 
 
 def test_slices(spark, tmp_path):
