@@ -49,6 +49,24 @@ def cache_hits(wanted: DataFrame, cache: DataFrame, keys: list[str], at: str, no
     return wanted.join(newest, keys, "left").withColumn("hit", dates.within_days(F.col("__at"), now, days)).drop("__at")
 
 
+def select(rows: DataFrame, columns: list[str] | None = None, filters: dict | None = None, order_by: str | None = None, descending: bool = True, limit: int | None = None, strict: bool = False) -> DataFrame:
+    """Rows of a stored table by equality, newest first by default, nulls first as a descending store has them.
+
+    A null in a filter matches nulls.  A column that the table lacks is refused if ``strict``; otherwise a filter on it
+    gives no row, and a selected one is null.
+    """
+    filters = filters or {}
+    missing = [c for c in [*(columns or []), *filters, *([order_by] if order_by else [])] if c not in rows.columns]
+    if missing and strict:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    for c, value in filters.items():
+        rows = rows.where(F.lit(False)) if c in missing else rows.where(F.col(c).eqNullSafe(F.lit(value)))
+    if order_by and order_by not in missing:
+        rows = rows.orderBy(F.col(order_by).desc_nulls_first() if descending else F.col(order_by).asc_nulls_last())
+    rows = rows.limit(limit) if limit is not None else rows
+    return rows.select(*(F.col(c) if c not in missing else F.lit(None).alias(c) for c in columns)) if columns else rows
+
+
 def hiring_history(identified: DataFrame, on: Column) -> DataFrame:
     """A row a company and day: open jobs."""
     return identified.groupBy("company").agg(F.count("*").alias("open_jobs")).withColumn("observed_on", on)

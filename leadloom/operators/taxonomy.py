@@ -149,8 +149,8 @@ def expand_title(job: str, sector: str, terms: DataFrame, limit: int = 5) -> Dat
     return spark.createDataFrame([(job, 1)], "title string, rank int").unionByName(best.select(F.col("search_term").alias("title"), "rank"))
 
 
-def plan(spark: SparkSession, sector: str, job: str, terms: DataFrame, limit: int = 5) -> DataFrame:
-    """(title, title_rank, geo_level, geo_ord, geo): every title nationwide and in each state; bad arguments are refused."""
+def plan(spark: SparkSession, sector: str, job: str, terms: DataFrame, limit: int = 5, max_days: int = 14) -> DataFrame:
+    """(title, title_rank, geo_level, geo_ord, geo, hours_old): every title nationwide and in each state; bad arguments are refused."""
     job = " ".join((job or "").split())
     if sector not in vocab.SECTORS:
         raise ValueError(f"unknown sector {sector!r}")
@@ -158,4 +158,4 @@ def plan(spark: SparkSession, sector: str, job: str, terms: DataFrame, limit: in
         raise ValueError("a job has 1 to 120 characters")
     states = [c for c in vocab.STATE_CODES if c != "PR"]
     geo = spark.createDataFrame([("COUNTRY", 0, "US")] + [("STATE", i, c) for i, c in enumerate(states, 1)], "geo_level string, geo_ord int, geo string")
-    return expand_title(job, sector, terms, limit).withColumnRenamed("rank", "title_rank").crossJoin(F.broadcast(geo))  # 5 by 52 rows
+    return expand_title(job, sector, terms, limit).withColumnRenamed("rank", "title_rank").crossJoin(F.broadcast(geo)).withColumn("hours_old", F.lit(24 * max_days))  # 5 by 52 rows

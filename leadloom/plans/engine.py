@@ -217,6 +217,41 @@ class Engine:
         """A company's observed addresses."""
         return run.stages["emails"].where(F.col("company_id") == company_id)
 
+    def persist(self, run: Run, base: str, dry_run: bool = False) -> dict[str, int]:
+        """Merge a completed run's rows into the stored tables; rows by table.  A dry run only counts.
+
+        Keyed tables get a new version each, in which nulls never erase; evidence and reasons are appended.
+        """
+        of = {"companies": "companies", "jobs": "jobs", "contacts": "contacts", "evidence": "evidence", "qualification_reasons": "reasons", "enrichment_logs": "attempts", "email_verification_logs": "verified"}
+        counts = {}
+        for name, stage in of.items():
+            rows = run.stages.get(stage)
+            if rows is None:
+                continue
+            counts[name] = rows.count()
+            if dry_run:
+                continue
+            rows = rows.drop("seq", "dedup_key")
+            if name in schemas.TABLE_KEYS:
+                keys = schemas.TABLE_KEYS[name]
+                last = self._last_version(f"{base}/{name}")
+                old = self.spark.read.parquet(f"{base}/{name}/v={last}") if last >= 0 else rows.limit(0)
+                newest = rows.dropDuplicates(keys)
+                tables.merge_non_null(old, newest.drop("ord"), keys).write.mode("overwrite").parquet(f"{base}/{name}/v={last + 1}")
+            else:
+                rows.write.mode("append").parquet(f"{base}/{name}")
+        return counts
+
+    def _last_version(self, path: str) -> int:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*")
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or []
+        return max((int(f.getPath().getName().partition("=")[2]) for f in found), default=-1)
+
+    def stored(self, base: str, name: str) -> DataFrame:
+        """A stored table's newest state."""
+        last = self._last_version(f"{base}/{name}")
+        return self.spark.read.parquet(f"{base}/{name}/v={last}" if last >= 0 else f"{base}/{name}")
+
     def create_tables(self, base: str) -> None:
         """An empty table for each stored kind that isn't there yet."""
         for name, keys in schemas.TABLE_KEYS.items():

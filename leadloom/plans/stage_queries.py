@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadloom import vocab
 from leadloom.functions import email, pages, url
-from leadloom.operators import coverage, discovery, enrichment, people, projections, tables, taxonomy
+from leadloom.operators import coverage, discovery, enrichment, identity, matching, people, projections, tables, taxonomy
 from leadloom.plans.postings import CTES, lit, normalized, sql_host, table
 from leadloom.plans.queries import _LEADS, SQL_PEOPLE, contacts, domains, leads, now, query
 from leadloom.scratch import Scratch
@@ -713,3 +713,49 @@ def ttl_stream(spark, sf):
     out = scratch.path("out")
     incremental.run_available(incremental.remember(stream, "user_id", "at", 1), out, scratch.path("checkpoint"))
     return spark.read.schema("user_id long, at timestamp, known boolean").parquet(out).groupBy("user_id").agg(F.count("*").alias("seen"))
+
+
+# --- further inputs and counts --------------------------------------------------------------------------------------
+
+_ALIASED = "SELECT o_orderkey, " + pick("o_orderkey", ["indeed", "", None]) + " AS source_site, 'linkedin' AS site, " + pick("o_orderkey", [None, "Welder"]) + " AS job_title, 'https://j/' || CAST(o_orderkey AS STRING) AS job_url, CASE WHEN o_orderkey % 4 = 0 THEN 'https://d' ELSE '' END AS job_url_direct FROM "
+
+
+@query("alias_rows", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'indeed' ELSE 'linkedin' END AS source_site, CASE WHEN o_orderkey % 2 = 1 THEN 'Welder' END AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'https://d' ELSE 'https://j/' || o_orderkey END AS application_url FROM orders")
+def alias_rows(spark, sf):
+    from leadloom.sources.registry import ALIASES, coalesce_aliases
+
+    return coalesce_aliases(given(spark, sf, _ALIASED, "orders"), ALIASES).select("source_site", "title", "application_url")
+
+
+@query("attach_sites", "SELECT o_orderkey AS ord, CASE WHEN o_custkey % 3 = 0 THEN 'Known ' || o_custkey ELSE 'N' || o_custkey END AS company_name, CASE WHEN o_orderkey % 5 = 0 THEN 'https://own' WHEN o_custkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'https://k' || o_custkey || '.com' END AS company_website, o_custkey % 3 = 0 AS site_matched FROM orders")
+def attach_sites(spark, sf):
+    rows = given(spark, sf, "SELECT o_orderkey AS ord, 'N' || CAST(o_custkey AS STRING) AS company_name, CASE WHEN o_orderkey % 5 = 0 THEN 'https://own' END AS company_website FROM ", "orders")
+    found = given(spark, sf, "SELECT 'N' || CAST(c_custkey AS STRING) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'https://k' || CAST(c_custkey AS STRING) || '.com' ELSE 'https://www.indeed.com/cmp/x' END AS url, 'Known ' || CAST(c_custkey AS STRING) AS matched_name FROM ", "customer")
+    return matching.attach_sites(rows, found)
+
+
+@query("identity_counts", "SELECT * FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'DOMAIN' WHEN 1 THEN 'NAME_ONLY' ELSE 'SOURCE_ID' END AS name, count(*) AS n FROM customer GROUP BY 1) UNION ALL SELECT 'AMBIGUOUS', count(*) FILTER (c_custkey % 6 = 1) FROM customer UNION ALL SELECT 'CONFLICTS', 7")
+def identity_counts(spark, sf):
+    rows = given(spark, sf, "SELECT " + pick("c_custkey", ["DOMAIN", "NAME_ONLY", "SOURCE_ID"]) + " AS identity_basis, c_custkey % 6 = 1 AS identity_ambiguous FROM ", "customer")
+    return identity.identity_counts(rows, spark.sql("SELECT CAST(7 AS BIGINT) AS n"))
+
+
+@query("ordered_emails", """WITH e AS (SELECT o_custkey AS c, o_orderkey AS ord, 0 AS i, 'a' || (o_orderkey % 4) || '@x.com' AS email FROM orders UNION ALL SELECT o_custkey, o_orderkey, 1, 'b@x.com' FROM orders), f AS (SELECT c, email, min(ord * 10 + i) AS place FROM e GROUP BY ALL)
+SELECT 'c' || c AS company, string_agg(email, ',' ORDER BY place) AS emails FROM f GROUP BY c""")
+def ordered_emails(spark, sf):
+    rows = given(spark, sf, "SELECT 'c' || CAST(o_custkey AS STRING) AS company, o_orderkey AS ord, array('A' || CAST(o_orderkey % 4 AS STRING) || '@x.com', ' b@x.com', '') AS observed_emails FROM ", "orders")
+    return identity.ordered_emails(rows).select("company", F.array_join("emails", ",").alias("emails"))
+
+
+@query("table_select", "SELECT o_orderkey, o_totalprice, NULL AS no_such FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC LIMIT 30")
+def table_select(spark, sf):
+    out = tables.select(table(spark, sf, "orders"), ["o_orderkey", "o_totalprice", "no_such"], {"o_orderstatus": "F"}, "o_totalprice", True, 30)
+    return out.withColumn("no_such", F.col("no_such").cast("int"))
+
+
+@query("exact_bands", "SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_custkey END AS min, CASE WHEN c_custkey % 4 > 0 THEN c_custkey END AS max FROM customer")
+def exact_bands(spark, sf):
+    from leadloom.functions import size
+
+    n = F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", size.exact_band(n).alias("b")).select("c_custkey", "b.*")

@@ -246,6 +246,32 @@ def test_from_postings_to_leads(spark):
     assert "ann.lee@acme-mfg.com (PERSONAL)" in rows["Ann Lee"].company_emails and rows["Bob Ray"].contact_origin == "PUBLIC+ZOOMINFO"
 
 
+def test_tables_survive_runs(spark, tmp_path):
+    engine, base = Engine(spark), str(tmp_path / "store")
+    run = engine.run(frame(spark, [job(0, company_website="https://www.acme-mfg.com"), job(1, "Bolt Staffing Group")]), now())
+    done = engine.complete(run, now())
+    assert engine.persist(done, base, dry_run=True)["companies"] == 2 and not engine.health(base)["companies"]
+    for _ in range(2):
+        engine.persist(done, base)
+    assert engine.stored(base, "companies").count() == 2 and engine.stored(base, "jobs").count() == 2 and engine.health(base)["evidence"]
+    assert engine.stored(base, "companies").where("normalized_name = 'acme manufacturing'").first().domain == "acme-mfg.com"
+
+
+def test_functions_in_sql(spark):
+    from leadloom.functions.registry import register_all
+
+    assert "fold_exact" in register_all(spark)
+    assert spark.sql("SELECT fold_exact('M&uuml;ller ﬁ'), extract_employee_size('a team of 12').min").first()[:] == ("Muller fi", 12)
+
+
+def test_stored_selects(spark):
+    rows = one(spark, [(1, "a", 2.0), (2, None, None), (3, "a", 1.0)], "k int, s string, v double")
+    assert [r.k for r in tables.select(rows, order_by="v").collect()] == [2, 1, 3] and [r.k for r in tables.select(rows, ["k"], {"s": None}).collect()] == [2]
+    assert tables.select(rows, filters={"nope": 1}).count() == 0
+    with pytest.raises(ValueError):
+        tables.select(rows, ["nope"], strict=True)
+
+
 def test_slices(spark, tmp_path):
     with pytest.raises(ValueError):
         slices.resolve_slices(None)
