@@ -759,3 +759,73 @@ def exact_bands(spark, sf):
 
     n = F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey", size.exact_band(n).alias("b")).select("c_custkey", "b.*")
+
+
+# --- scans ----------------------------------------------------------------------------------------------------------
+
+_MAP_XML = "SELECT c_custkey, '<urlset><url><loc> https://c' || CAST(c_custkey AS STRING) || '.com/team?a=1&amp;b=2 </loc></url><url><LOC>https://x/' || CAST(c_custkey % 3 AS STRING) || '</LOC></url><loc></loc></urlset>' AS xml FROM "
+
+
+@query("sitemap_links", "SELECT c_custkey, 'https://c' || c_custkey || '.com/team?a=1&b=2,https://x/' || (c_custkey % 3) AS links FROM customer")
+def sitemap_links(spark, sf):
+    from leadloom.sources import scans
+
+    return given(spark, sf, _MAP_XML, "customer").select("c_custkey", F.array_join(scans.sitemap_links(F.col("xml")), ",").alias("links"))
+
+
+_CERTS = """SELECT 'co-' || CAST(c_custkey AS STRING) AS company_id, 'acme.com' AS domain, CASE WHEN c_custkey % 5 = 0 THEN 'broken' ELSE '[{"name_value":"*.careers.acme.com\\\\nacme.com"},{"name_value":"HR' || CAST(c_custkey % 3 AS STRING) || '.acme.com"},{"name_value":"x.other.com"}]' END AS body FROM """
+
+
+@query("certificate_hosts", "SELECT 'co-' || c_custkey AS company_id, h AS host FROM customer, (VALUES (0), (1)) v(k), LATERAL (SELECT CASE k WHEN 0 THEN 'careers.acme.com' ELSE 'hr' || (c_custkey % 3) || '.acme.com' END AS h) WHERE c_custkey % 5 > 0")
+def certificate_hosts(spark, sf):
+    from leadloom.sources import scans
+
+    return scans.certificate_hosts(given(spark, sf, _CERTS, "customer"))
+
+
+_RESULTS = "SELECT 'k' || CAST(o_custkey AS STRING) AS dedup_key, CAST(o_orderkey AS INT) AS position, " + pick("o_orderkey", ["https://duck.example/l/?uddg=https%3A%2F%2Facme.com%2Fx", "https://www.indeed.com/cmp/x", "https://brave.com/x", "https://a.co.uk/", "https://b.com/"]) + " AS link FROM "
+
+
+@query("search_candidates", "WITH r AS (SELECT o_custkey AS c, CASE o_orderkey % 5 WHEN 0 THEN 'acme.com' WHEN 3 THEN 'a.co.uk' WHEN 4 THEN 'b.com' END AS domain, min(o_orderkey) AS p FROM orders WHERE o_orderkey % 5 NOT IN (1, 2) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY p) AS seq FROM r) SELECT 'k' || c AS dedup_key, seq, domain FROM k WHERE seq <= 2")
+def search_candidates(spark, sf):
+    from leadloom.sources import scans
+
+    return scans.search_candidates(given(spark, sf, _RESULTS, "orders"), ["brave.com"], 2).select("dedup_key", F.col("seq").cast("long").alias("seq"), "domain")
+
+
+@query("page_links")
+def page_links(spark, sf):
+    """Links of every page as it is; tests/test_stages.py holds them to a plain parser."""
+    from leadloom.sources import scans
+
+    return scans.links_of_pages(table(spark, sf, "pages"), "page_id")
+
+
+@query("circuit_breaker", "SELECT o_orderkey AS seq, coalesce(count(*) OVER w = 3 AND sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) OVER w = 0, false) AS open FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
+def circuit_breaker(spark, sf):
+    from leadloom.sources import scans
+
+    rows = given(spark, sf, "SELECT CAST(o_custkey AS STRING) AS host, o_orderkey AS seq, o_orderkey % 3 = 0 AS ok FROM ", "orders")
+    return scans.circuit_open(rows).select("seq", "open")
+
+
+@query("fetch_errors", "SELECT o_orderkey, CASE WHEN k = 0 THEN 'URL_REJECTED:INTERNAL_HOST' WHEN k = 1 THEN 'HOST_UNRESOLVED' WHEN k = 2 THEN 'ROBOTS_DISALLOWED' WHEN k = 3 THEN 'HOST_CIRCUIT_OPEN' WHEN k = 4 THEN 'NOT_FOUND' WHEN k = 5 THEN 'RATE_LIMITED:429' WHEN k = 6 THEN 'REDIRECT_REJECTED' END AS error, k >= 7 AND o_orderkey % 2 = 0 AS ok FROM (SELECT o_orderkey, o_orderkey % 9 AS k FROM orders)")
+def fetch_errors(spark, sf):
+    from leadloom.sources import registry, scans
+
+    k = F.col("o_orderkey") % 9
+    status = F.when(k == 4, 410).when(k == 5, 429).when(k < 4, F.lit(None)).otherwise(200)
+    error = scans.fetch_error(F.when(k == 0, F.lit("http://localhost/")).otherwise(F.lit("https://acme.com/")), k != 1, k != 2, k == 3, status, F.when(k == 6, F.lit("http://10.0.0.1/")))
+    rows = table(spark, sf, "orders").withColumn("error", error)
+    body = F.when((F.col("o_orderkey") % 2 == 0) & F.col("error").isNull(), F.lit("<p>"))
+    return rows.select("o_orderkey", "error", registry.page_ok(body, F.lit(False), status).alias("ok"))
+
+
+@query("size_statements", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN CASE WHEN c_custkey = 0 THEN 9 ELSE c_custkey END WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey END AS size_min, CASE c_custkey % 6 WHEN 0 THEN c_custkey + 9 WHEN 1 THEN c_custkey WHEN 4 THEN c_custkey END AS size_max, CASE c_custkey % 6 WHEN 0 THEN CASE WHEN c_custkey = 0 THEN '9 employees' ELSE c_custkey || ' to ' || (c_custkey + 9) || ' employees' END WHEN 1 THEN 'team of ' || c_custkey WHEN 2 THEN 'over ' || c_custkey || ' employees' WHEN 4 THEN 'fewer than ' || c_custkey || ' people' END AS snippet FROM customer")
+def size_statements(spark, sf):
+    """Head counts and the words that state them, of every customer's text."""
+    from leadloom.functions import size
+    from leadloom.plans.more_queries import _SAID
+
+    rows = given(spark, sf, _SAID, "customer").withColumn("s", size.size_evidence(F.col("t")))
+    return rows.select("c_custkey", F.col("s.min").alias("size_min"), F.col("s.max").alias("size_max"), F.col("s.snippet").alias("snippet"))

@@ -272,6 +272,29 @@ def test_stored_selects(spark):
         tables.select(rows, ["nope"], strict=True)
 
 
+def test_links_equal_a_plain_parsers(spark):
+    from html.parser import HTMLParser
+
+    from leadloom.plans.stage_queries import page_links
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            href = (dict(attrs).get("href") or "").strip()
+            if tag == "a" and href and not href.lower().startswith(("mailto:", "tel:", "#", "javascript:")):
+                self.found.append(href)
+
+    want = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        want += [(r.page_id, i, link) for i, link in enumerate(reader.found)]
+    assert sorted(map(tuple, page_links(spark, "/root/testdata/sf0.001").collect())) == sorted(want) and want
+
+
 def test_slices(spark, tmp_path):
     with pytest.raises(ValueError):
         slices.resolve_slices(None)
