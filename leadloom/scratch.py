@@ -7,6 +7,8 @@ local runs) a temporary folder of this machine is used instead.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _LOCAL[app] = tempfile.mkdtemp(prefix="leadloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
-    """Names, writes and drops intermediate tables under one fresh folder."""
+    """Names, writes and drops intermediate tables under one fresh folder.
+
+    Frames that an operator returns read these tables when they run, so a folder stays until its user closes it, or
+    until ``clean`` is called at the end of a job; a machine's own temporary folder goes with the process.
+    """
+
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        Scratch.made.append(self.root)
+
+    def close(self) -> None:
+        """Delete all tables under this folder; frames that read them can't run any more."""
+        _delete(self.spark, self.root)
+        if self.root in Scratch.made:
+            Scratch.made.remove(self.root)
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> int:
+        """Delete every folder that this process has made and not closed; how many."""
+        gone = len(cls.made)
+        for root in cls.made:
+            _delete(spark, root)
+        cls.made.clear()
+        return gone
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -52,6 +82,4 @@ class Scratch:
         """Delete a table that save() returned and that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(self.spark, path)

@@ -42,3 +42,18 @@ def test_strings_and_nothing(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
     assert len({r.root for r in connected_components(df, Scratch(spark, "cc"), finish=0).collect()}) == 1
     assert connected_components(df.limit(0), Scratch(spark, "cc")).collect() == []
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    from leadloom.scratch import Scratch
+
+    one, two = Scratch(spark, "one"), Scratch(spark, "two")
+    tables = [s.save(spark.range(3).toDF("x"), "t") for s in (one, two)]
+    assert [t.count() for t in tables] == [3, 3]
+    one.drop(tables[0])
+    one.close()
+    assert not os.path.exists(one.root) and os.path.exists(two.root)
+    two.close()
+    assert not os.path.exists(two.root)
