@@ -143,6 +143,10 @@ def _scope(spark, sf):
     return normalize.screen(normalized(spark, sf))[0]
 
 
+#: What de-duplication reads of a posting.
+DEDUPE_READS = ["ord", "source_site", "external_id", "posted_at", "source_priority", "description", "company_name_normalized", "title_normalized", "location_key", "state", "domain"]
+
+
 @query("dedupe_same_source", CTES + DEDUPE + " SELECT best AS kept_ord, count(*) AS copies FROM same GROUP BY 1")
 def dedupe_same_source(spark, sf):
     rows = dedupe.same_source(Scratch(spark, "dedupe").save(_scope(spark, sf).select("ord", "source_site", "external_id", "posted_at", "source_priority", "description"), "postings"))
@@ -151,12 +155,12 @@ def dedupe_same_source(spark, sf):
 
 @query("dedupe_cross_post", CTES + DEDUPE + " SELECT ord, company_name_normalized, title_normalized, source_site FROM kept")
 def dedupe_cross_post(spark, sf):
-    return dedupe.dedupe(_scope(spark, sf), Scratch(spark, "dedupe"))[0].select("ord", "company_name_normalized", "title_normalized", "source_site")
+    return dedupe.dedupe(_scope(spark, sf).select(DEDUPE_READS), Scratch(spark, "dedupe"))[0].select("ord", "company_name_normalized", "title_normalized", "source_site")
 
 
 @query("dedupe_audit", CTES + DEDUPE + " SELECT ord AS dup_ord, best AS kept_ord, 'SAME_SOURCE_ID' AS reason FROM same WHERE best <> ord UNION ALL SELECT ord, head, 'CROSS_POSTED' FROM cross_ WHERE NOT winner")
 def dedupe_audit(spark, sf):
-    return dedupe.dedupe(_scope(spark, sf), Scratch(spark, "dedupe"))[1]
+    return dedupe.dedupe(_scope(spark, sf).select(DEDUPE_READS), Scratch(spark, "dedupe"))[1]
 
 
 @query("first_seen", CTES + " SELECT min(ord) AS ord, source_site FROM postings GROUP BY source_site, coalesce(external_id, application_url)")
