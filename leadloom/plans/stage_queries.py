@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadloom import vocab
 from leadloom.functions import email, pages, url
 from leadloom.operators import coverage, discovery, enrichment, identity, matching, people, projections, tables, taxonomy
-from leadloom.plans.postings import CTES, lit, normalized, sql_host, table
+from leadloom.plans.postings import CTES, lit, normalized, spread, sql_host, table
 from leadloom.plans.queries import _LEADS, SQL_PEOPLE, contacts, domains, leads, now, query
 from leadloom.scratch import Scratch
 
@@ -421,7 +421,7 @@ SELECT 'q' || q AS query, ends AS stop_reason, stop - 1 AS jobs_accepted FROM s"
 def page_walk(spark, sf):
     from leadloom.sources import boards
 
-    t = table(spark, sf, "orders")
+    t = spread(table(spark, sf, "orders").select("o_orderkey"))
     return boards.page_walk(spark.sql(_WALK, t=t), spark.sql(_SHOWN, t=t), 6, 1000)[1].select("query", "stop_reason", "jobs_accepted")
 
 

@@ -153,17 +153,18 @@ def page_walk(pages: DataFrame, postings: DataFrame, max_pages: int = 25, max_re
     board's pages overlap), or a budget is spent.  Nothing on the first page, without the board's own words for it, is
     a page that could not be parsed.  A posting counts once a run, where it is first seen.
     """
-    key = F.coalesce(F.nullif("external_id", F.lit("")), F.nullif("application_url", F.lit("")))
-    rows = postings.withColumn("key", key)
-    firsts = rows.where("key is not null").groupBy("site", "key").agg(F.min(F.struct("query", "page_no", "position")).alias("at"))
-    seen = rows.join(firsts, ["site", "key"], "left").withColumn("new", F.coalesce(F.struct("query", "page_no", "position") == F.col("at"), F.lit(False))).drop("at")
-    by_page = seen.groupBy("site", "query", "page_no").agg(F.count("*").alias("found"), F.count_if("new").alias("fresh"))
+    page, at = ["site", "query", "page_no"], ["query", "page_no", "position"]
+    rows = postings.withColumn("key", F.coalesce(F.nullif("external_id", F.lit("")), F.nullif("application_url", F.lit(""))))
+    firsts = rows.where("key is not null").groupBy("site", "key").agg(F.min(F.struct(*at)).alias("at")).select("site", "key", "at.*")
+    shown = rows.select(*page, F.lit(1).alias("found"), F.lit(0).alias("fresh")).unionByName(firsts.select(*page, F.lit(0).alias("found"), F.lit(1).alias("fresh")))
+    by_page = shown.groupBy(*page).agg(F.sum("found").alias("found"), F.sum("fresh").alias("fresh"))
     quiet = F.lit(False)
     for site, board in BOARDS.items():
         for mark in board.none:
             quiet = quiet | ((F.col("site") == site) & F.lower(F.coalesce("html", F.lit(""))).contains(mark))
     overlapping = F.col("site").isin([s for s, b in BOARDS.items() if not b.repeats_last_page])
-    walk = pages.select("site", "query", F.col("page_no").cast("int").alias("page_no"), "ok", "error", "status", quiet.alias("says_none")).join(by_page, ["site", "query", "page_no"], "left").fillna(0, ["found", "fresh"])
+    walk = pages.select("site", "query", F.col("page_no").cast("int").alias("page_no"), "ok", "error", "status", quiet.alias("says_none"))
+    walk = walk.join(by_page.hint("merge"), page, "left").fillna(0, ["found", "fresh"])  # the planner's sizes know nothing of a source's rows
     order = Window.partitionBy("site", "query").orderBy("page_no")
     before = F.coalesce(F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lost, unparsed = ~F.coalesce("ok", F.lit(False)), (F.col("found") == 0) & (F.col("page_no") == 1) & ~F.col("says_none")
@@ -173,14 +174,21 @@ def page_walk(pages: DataFrame, postings: DataFrame, max_pages: int = 25, max_re
     )
     walk = walk.withColumn("ends", ends).withColumn("unread", (F.col("page_no") > max_pages) | (before >= max_results))
     walk = walk.withColumn("unparsed", ~lost & unparsed)
-    stop = walk.groupBy("site", "query").agg(F.min(F.when(F.col("ends").isNotNull(), F.struct("page_no", "ends", "unread", "unparsed", "error"))).alias("stop"), F.max("page_no").alias("last"))
-    read = walk.join(stop, ["site", "query"]).where(F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")) | ((F.col("page_no") == F.col("stop.page_no")) & ~F.col("stop.unread")))
-    taken = read.where("ok and found > 0").select("site", "query", "page_no")
-    kept = seen.join(taken, ["site", "query", "page_no"], "left_semi")
-    counted = kept.groupBy("site", "query").agg(F.count("*").alias("jobs_returned"), F.count_if("new").alias("jobs_accepted"), F.count_if(~F.col("new")).alias("duplicates"))
-    out = stop.join(read.groupBy("site", "query").agg(F.max("page_no").alias("pages")), ["site", "query"], "left").join(counted, ["site", "query"], "left").fillna(0, ["pages", "jobs_returned", "jobs_accepted", "duplicates"])
+    run = Window.partitionBy("site", "query")
+    walk = walk.withColumn("stop", F.min(F.when(F.col("ends").isNotNull(), F.struct("page_no", "ends", "unread", "unparsed", "error"))).over(run))
+    read = F.col("stop").isNull() | (F.col("page_no") < F.col("stop.page_no")) | ((F.col("page_no") == F.col("stop.page_no")) & ~F.col("stop.unread"))
+    walk = walk.withColumn("read", F.coalesce(read, F.lit(False)))
+    each = walk.groupBy(*page).agg(F.max("read").alias("read"), F.max(F.expr("read and ok and found > 0")).alias("taken"), F.max("found").alias("found"), F.max("fresh").alias("fresh"), F.max("stop").alias("stop"))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("taken"), c)), F.lit(0))
+    out = each.groupBy("site", "query").agg(
+        F.max("stop").alias("stop"), F.max("page_no").alias("last"), F.coalesce(F.max(F.when(F.col("read"), F.col("page_no"))), F.lit(0)).alias("pages"),
+        total(F.col("found")).alias("jobs_returned"), total(F.col("fresh")).alias("jobs_accepted"), total(F.col("found") - F.col("fresh")).alias("duplicates"),
+    )
     reason = F.when(F.col("stop").isNotNull(), F.col("stop.ends")).when(F.col("last") >= max_pages, F.lit("BUDGET_REACHED")).otherwise(F.lit("SOURCE_EXHAUSTED"))
-    return kept.where("new").drop("key", "new"), out.select("site", "query", reason.alias("stop_reason"), F.when(F.col("stop.unparsed"), F.lit("PARSE_FAILED")).alias("error_type"), F.col("stop.error").alias("error_message"), "pages", "jobs_returned", "jobs_accepted", "duplicates")
+    outcomes = out.select("site", "query", reason.alias("stop_reason"), F.when(F.col("stop.unparsed"), F.lit("PARSE_FAILED")).alias("error_type"), F.col("stop.error").alias("error_message"), "pages", "jobs_returned", "jobs_accepted", "duplicates")
+    kept = firsts.join(each.where("taken").select(*page).hint("merge"), page, "left_semi")
+    accepted = rows.dropDuplicates(["site", "key", *at]).join(kept.hint("merge"), ["site", "key", *at], "left_semi").drop("key")
+    return accepted, outcomes
 
 
 def detail_parts(html: str | None) -> dict:
