@@ -118,7 +118,10 @@ def suggest_terms(sector: str, industries: DataFrame, terms: DataFrame, most_ran
     gone = [*(excluded or []), vocab.EXCLUDED_SOC_MAJOR]
     ours = industries.where((F.col("client_industry") == sector) & ~soc_major(F.col("soc_code")).isin(gone)).select("naics3", F.col("rank").alias("place"), "soc_code")
     fit = terms.where(is_searchable(F.col("search_term")) & (F.col("rank") <= most_rank)).select("soc_code", "search_term", "rank")
-    firsts = ours.join(fit, "soc_code").groupBy("search_term").agg(F.min(F.struct("naics3", "place", "soc_code", "rank")).alias("at"))
+    # an occupation's first place and a term's first rank in it, so that the join makes no more rows than there are terms of occupations
+    ours = ours.groupBy("soc_code").agg(F.min(F.struct("naics3", "place")).alias("first"))
+    fit = fit.groupBy("soc_code", "search_term").agg(F.min("rank").alias("rank"))
+    firsts = ours.join(fit, "soc_code").groupBy("search_term").agg(F.min(F.struct("first.naics3", "first.place", "soc_code", "rank")).alias("at"))
     return firsts.select(F.row_number().over(Window.orderBy("at", "search_term")).alias("place"), "search_term")  # one sector's terms
 
 
