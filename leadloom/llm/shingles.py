@@ -1,7 +1,6 @@
 """Near-duplicates by exact similarity of five-word shingles.
 
-MinHash bands of the shingle sets propose links: sets that share a band's five minima fall into one bucket, and
-each bucket links its members to its least one, so a bucket costs its size and not its square.  Connected buckets
+SimHash fingerprints of the shingle sets propose links by multi-index hashing (``simhash.wide_links``), and linked sets
 make a block.  Inside a block every pair that could be similar is compared exactly, by way of the prefixes of the
 sets in order of rarity, unless it is linked already.  Texts of the same set are one node and never make pairs.
 
@@ -19,19 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.llm.simhash import wide_fingerprint, wide_links
 from leadloom.operators.graph import connected_components
 from leadloom.scratch import Scratch
 
 #: Words a shingle; similarity, SHARE[0] / SHARE[1], from which two texts are near copies.
 WORDS, SHARE = 5, (4, 5)
-#: At similarity 0.8 a band agrees with probability 0.8 ** MINIMA, so all bands miss a pair once in 14,000.
-BANDS, MINIMA = 24, 5
 SEED = 42
 #: Sets in a chunk of a block.
 CHUNK = 256
-_rng = np.random.default_rng(SEED)
-_XOR = _rng.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -45,18 +40,11 @@ def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
 
 
-def set_and_keys(values: np.ndarray) -> tuple[int, list[int]]:
-    """A signed 64-bit name of the set, and a key a band."""
+def set_name(values: np.ndarray) -> int:
+    """A signed 64-bit name of the set."""
     import xxhash
 
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(values), 1024):
-        mixed = (values[lo : lo + 1024, None] ^ _XOR) * _TIMES
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
-    digests = [xxhash.xxh64_intdigest(values.tobytes(), SEED)]
-    digests += [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, MINIMA))]
-    name, *keys = np.array(digests, np.uint64).view(np.int64).tolist()
-    return name, keys
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), SEED)).astype(np.int64))
 
 
 def similar_classes(sets: list[np.ndarray]) -> np.ndarray:
@@ -107,22 +95,20 @@ def _settle(block: pa.Table) -> pa.Table:
 def _keyed(at: int):
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [set_and_keys(shingle_set(x.as_py())) for x in batch.column(at)]
-            columns = [*batch.columns, pa.array([s for s, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "name", "keys"])
+            sets = [shingle_set(x.as_py()) for x in batch.column(at)]
+            columns = [*batch.columns, pa.array(map(set_name, sets), pa.int64()), pa.array([wide_fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "name", "fp"])
 
     return keyed
 
 
 def similar_sets(rows: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
-    """(name, component_id) for every shingle set of the written table ``rows(doc_id, text, name, keys)``.
+    """(name, component_id) for every shingle set of the written table ``rows(doc_id, text, name, fp)``.
 
     component_id is the smallest doc_id of the sets linked to it, itself included.
     """
-    ids = scratch.save(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "sets")
-    keys = ids.select("name", F.explode("keys").alias("key"))
-    leads = scratch.save(keys.groupBy("key").agg(F.min("name").alias("src"), F.count("*").alias("n")).where("n > 1").select("key", "src"), "leads")
-    links = keys.join(leads, "key").select("src", F.col("name").alias("dst")).where("src <> dst").distinct()
+    ids = scratch.save(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "sets")
+    links = scratch.save(wide_links(ids), "links")
     blocks = scratch.save(connected_components(links, scratch), "blocks")
     chunks = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     dealt = blocks.join(chunks, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -147,9 +133,9 @@ def keep_one_similar(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> D
     inner = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*inner)
     doc_id, text = (inner[docs.columns.index(c)] for c in ("doc_id", "text"))
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plain.schema)}, name long, keys array<long>"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plain.schema)}, name long, fp array<long>"
     rows = scratch.save(plain.mapInArrow(_keyed(inner.index(text)), schema), "documents", "zstd")
-    found = similar_sets(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "name", "keys"), scratch, chunk)
+    found = similar_sets(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "name", "fp"), scratch, chunk)
     keep = found.where("component_id is not null").select(F.col("component_id").alias(doc_id), "name")
     kept = rows.join(keep, [doc_id, "name"], "left_semi").dropDuplicates([doc_id, "name"])
     return kept.unionByName(rows.where(F.col(doc_id).isNull())).select(*inner).toDF(*docs.columns)

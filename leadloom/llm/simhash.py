@@ -5,6 +5,11 @@ bit of some segment, so each fingerprint looks up its segments' Hamming balls of
 segments.  Of two segments one bit apart only the one with the bit unset probes, which halves the probes and
 finds each pair once a segment.  Whole distances are then verified inside the join.  Copies share a fingerprint
 and never make pairs; pairs in a bucket are bounded by the distinct fingerprints that share 32 bits.
+
+Texts of a wider similarity differ in too many of 64 bits for that.  For them ``wide_fingerprint`` has 12 or 24 words,
+and ``wide_links`` cuts it into 24-bit segments, searched in Hamming balls of radius two: two values within two bits have
+one of their three bytes in common, so a value goes to a bucket a byte, where all pairs are compared.  The distance of the
+fingerprints is verified in the bucket over their first 128 bits.
 """
 
 from __future__ import annotations
@@ -22,6 +27,14 @@ from leadloom.operators.graph import connected_components
 from leadloom.scratch import Scratch
 
 SEED, RADIUS = 42, 2
+#: Words of a wide fingerprint, and shingles up to which it has twice as many, as few shingles make unsteady bits.
+WIDE, FEW = 12, 40
+#: Bits in which wide fingerprints may differ, in one segment and in the first 128.  Sets of similarity 0.8 differ in 15 %
+#: of the bits, so all segments miss a pair once in 20,000; unrelated ones differ in half the bits.
+BALL, WHOLE = 2, 40
+_rng = np.random.default_rng(SEED)
+_XOR = _rng.integers(0, 1 << 64, 2 * WIDE, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 64, 2 * WIDE, dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -69,6 +82,95 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return probes.join(home, (probes.seg == home.seg) & (probes.key == home.key) & near).select("src", "dst")
 
 
+def wide_fingerprint(values: np.ndarray) -> np.ndarray:
+    """SimHash over a set of distinct 64-bit shingle hashes: a bit is set where more than half of their mixes have it set."""
+    words = WIDE if len(values) > FEW else 2 * WIDE
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(values), 1024):
+        mixed = (values[lo : lo + 1024, None] ^ _XOR[:words]) * _TIMES[:words]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _TIMES[0]
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a byte of each segment: its bucket, the segment's other bytes, the name and the first 128 bits."""
+    for batch in batches:
+        names, size = batch.column(0).to_numpy(), np.array([len(x) for x in batch.column(1)])
+        for words in np.unique(size).tolist():
+            at = np.flatnonzero(size == words)
+            for lo in range(0, len(at), 256):
+                own = at[lo : lo + 256]
+                fp = np.array(batch.column(1).take(pa.array(own)).to_pylist(), "<i8")
+                seg = fp.view(np.uint8).reshape(len(own), -1, 3).astype(np.int32)
+                places = np.arange(seg.shape[1], dtype=np.int32) * 3
+                for k in range(3):
+                    columns = {"bucket": (places + k) * 256 + seg[:, :, k], "rest": seg[:, :, k - 2] * 256 + seg[:, :, k - 1]}
+                    columns |= {c: np.repeat(v, seg.shape[1]) for c, v in (("name", names[own]), ("a", fp[:, 0]), ("b", fp[:, 1]))}
+                    yield pa.record_batch({c: pa.array(v.ravel()) for c, v in columns.items()})
+
+
+def _forest(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star a component of the edges between 0 and n."""
+    label = np.arange(n)
+    while (label[src] != label[dst]).any():
+        least = np.minimum(label[src], label[dst])
+        for end in (src, dst):
+            np.minimum.at(label, label[end], least)
+        while (label != label[label]).any():
+            label = label[label]
+    at = np.flatnonzero(label != np.arange(n))
+    return label[at], at
+
+
+def bucket_links(rest: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that connect all pairs of a bucket within BALL bits of the segment and WHOLE of the first 128."""
+    n, step, found = len(rest), 256, []
+    for lo in range(0, n, step):
+        i, j = np.nonzero(np.bitwise_count(rest[lo : lo + step, None] ^ rest[None, lo:]) <= BALL)
+        i, j = i[i < j] + lo, j[i < j] + lo
+        near = np.bitwise_count(first[i] ^ first[j]).sum(1, dtype=np.int64) <= WHOLE
+        found.append(np.stack(_forest(i[near], j[near], n)) if near.any() else np.zeros((2, 0), np.int64))
+    return _forest(*np.concatenate(found, axis=1), n)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of rows in order of their buckets; a bucket that may go on in the next batch is kept back."""
+    def links(bucket, rest, name, a, b):
+        first, bounds = np.stack([a, b], axis=1).view(np.uint64), np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        out = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                src, dst = bucket_links(rest[lo:hi], first[lo:hi])
+                if len(src):
+                    out.append(np.stack([name[lo:hi][src], name[lo:hi][dst]]))
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    held: list[tuple] = []
+    kinds = (np.int32, np.uint16, np.int64, np.int64, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = tuple(c.to_numpy().astype(t) for c, t in zip(batch.columns, kinds, strict=True))
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if cut or (held and held[-1][0][-1] != new[0][0]):
+            done = [np.concatenate([*(h[k] for h in held), new[k][:cut]]) for k in range(len(kinds))]
+            src, dst = links(*done)
+            yield pa.record_batch({"src": pa.array(np.minimum(src, dst)), "dst": pa.array(np.maximum(src, dst))})
+            held = []
+        held.append(tuple(c[cut:] for c in new))
+    if held:
+        src, dst = links(*(np.concatenate([h[k] for h in held]) for k in range(len(kinds))))
+        yield pa.record_batch({"src": pa.array(np.minimum(src, dst)), "dst": pa.array(np.maximum(src, dst))})
+
+
+def wide_links(sets: DataFrame) -> DataFrame:
+    """(src, dst) that connect all rows of ``sets(name, fp)`` whose wide fingerprints are near, as ``bucket_links`` has it."""
+    routed = sets.select("name", "fp").mapInArrow(_routed, "bucket int, rest int, name long, a long, b long")
+    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linked, "src long, dst long").distinct()
+
+
 def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(class_fp, component_id) for every distinct fp of the written table ``rows(doc_id, fp)``."""
     distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
