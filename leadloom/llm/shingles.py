@@ -1,7 +1,7 @@
 """Near-duplicates by exact similarity of five-word shingles.
 
-SimHash fingerprints of the shingle sets propose links by multi-index hashing (``simhash.wide_links``), and linked sets
-make a block.  Inside a block every pair that could be similar is compared exactly, by way of the prefixes of the
+SimHash fingerprints of the shingle sets propose links by multi-index hashing (``simhash.wide_links``), all bits of the
+fingerprints confirm them (``simhash.whole_links``), and linked sets make a block.  Inside a block every pair that could be similar is compared exactly, by way of the prefixes of the
 sets in order of rarity, unless it is linked already.  Texts of the same set are one node and never make pairs.
 
 A block of more than CHUNK sets is cut into chunks of about that size, and each two of its chunks are one task, so that
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.simhash import wide_fingerprint, wide_links
+from leadloom.llm.simhash import pairs_of_chunks, stars, whole_links, wide_fingerprint, wide_links
 from leadloom.operators.graph import connected_components
 from leadloom.scratch import Scratch
 
@@ -83,13 +83,7 @@ def similar_classes(sets: list[np.ndarray]) -> np.ndarray:
 
 def _settle(block: pa.Table) -> pa.Table:
     """Each set of a block, or of two of its chunks, with the least set of its class; sets alone in theirs are left out."""
-    names = block.column("name").to_pylist()
-    label = similar_classes([shingle_set(x.as_py()) for x in block.column("text")]).tolist()
-    least: dict[int, int] = {}
-    for name, k in zip(names, label, strict=True):
-        least[k] = min(name, least.get(k, name))
-    tied = [(least[k], name) for name, k in zip(names, label, strict=True) if least[k] != name]
-    return pa.table({"src": pa.array([a for a, _ in tied], pa.int64()), "dst": pa.array([b for _, b in tied], pa.int64())})
+    return stars(block.column("name").to_pylist(), similar_classes([shingle_set(x.as_py()) for x in block.column("text")]).tolist())
 
 
 def _keyed(at: int):
@@ -102,25 +96,21 @@ def _keyed(at: int):
     return keyed
 
 
-def similar_sets(rows: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
-    """(name, component_id) for every shingle set of the written table ``rows(doc_id, text, name, fp)``.
+def similar_sets(sets: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+    """(name, first, component_id) for every set of the written table ``sets(name, first, text, fp)`` that has a near copy.
 
-    component_id is the smallest doc_id of the sets linked to it, itself included.
+    component_id is the smallest ``first`` of the sets linked to it, itself included.
     """
-    ids = scratch.save(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "sets")
-    links = scratch.save(wide_links(ids), "links")
-    blocks = scratch.save(connected_components(links, scratch), "blocks")
-    chunks = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = blocks.join(chunks, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    texts = rows.select("name", "text").join(blocks, F.col("name") == F.col("node"), "left_semi").dropDuplicates(["name"])
-    members = texts.join(dealt, F.col("name") == F.col("node")).select("root", "mine", other, "name", "text")
-    pairs = members.select("root", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "name", "text")
+    fps = sets.select("name", "fp")
+    links = scratch.save(wide_links(fps), "links")
+    near = scratch.save(whole_links(fps, scratch.save(connected_components(links, scratch), "loose")), "near")
+    blocks = scratch.save(connected_components(near, scratch), "blocks")
+    pairs = pairs_of_chunks(sets.select("name", "text"), blocks, chunk)
     tied = scratch.save(pairs.groupBy("root", "one", "two").applyInArrow(_settle, "src long, dst long"), "tied")
     label = scratch.save(connected_components(tied.distinct(), scratch), "labels")
-    named = ids.select("name", "first").join(label, F.col("name") == F.col("node"), "left").select("name", "first", F.coalesce("root", "name").alias("class"))
-    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    return scratch.save(named.join(least, "class").select("name", "component_id"), "classes")
+    named = sets.select("name", "first").join(label, F.col("name") == F.col("node")).select("name", "first", "root")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return scratch.save(named.join(least, "root").select("name", "first", "component_id"), "classes")
 
 
 def keep_one_similar(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
@@ -129,13 +119,17 @@ def keep_one_similar(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> D
     Texts without a word, null ones included, are copies of one another.  Rows without a doc_id can't be told apart and
     all stay.  Rows that repeat a doc_id with different texts of one class stay once a text set.  Columns are those of
     docs, whatever their names; no rows give none.
+
+    Whole rows are shuffled once, to the first row of each set; blocks and the result read the buckets that this is written in.
     """
     inner = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*inner)
-    doc_id, text = (inner[docs.columns.index(c)] for c in ("doc_id", "text"))
+    doc_id, text = (F.col(inner[docs.columns.index(c)]) for c in ("doc_id", "text"))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in plain.schema)}, name long, fp array<long>"
-    rows = scratch.save(plain.mapInArrow(_keyed(inner.index(text)), schema), "documents", "zstd")
-    found = similar_sets(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "name", "fp"), scratch, chunk)
-    keep = found.where("component_id is not null").select(F.col("component_id").alias(doc_id), "name")
-    kept = rows.join(keep, [doc_id, "name"], "left_semi").dropDuplicates([doc_id, "name"])
-    return kept.unionByName(rows.where(F.col(doc_id).isNull())).select(*inner).toDF(*docs.columns)
+    rows = plain.mapInArrow(_keyed(docs.columns.index("text")), schema)
+    first = F.min_by(F.struct(*inner), F.struct(doc_id.isNull(), doc_id)).alias("row")
+    sets = scratch.save_by(rows.groupBy("name").agg(first, F.first("fp").alias("fp")).select("row.*", "name", "fp"), "name", "sets", "zstd")
+    found = similar_sets(sets.select("name", doc_id.alias("first"), text.alias("text"), "fp"), scratch, chunk)
+    later = found.where("not first <=> component_id").select("name")
+    kept = sets.where(doc_id.isNotNull()).join(later, "name", "left_anti").select(*inner)
+    return kept.unionByName(plain.where(doc_id.isNull())).toDF(*docs.columns)

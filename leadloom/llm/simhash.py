@@ -9,7 +9,8 @@ and never make pairs; pairs in a bucket are bounded by the distinct fingerprints
 Texts of a wider similarity differ in too many of 64 bits for that.  For them ``wide_fingerprint`` has 12 or 24 words,
 and ``wide_links`` cuts it into 24-bit segments, searched in Hamming balls of radius two: two values within two bits have
 one of their three bytes in common, so a value goes to a bucket a byte, where all pairs are compared.  The distance of the
-fingerprints is verified in the bucket over their first 128 bits.
+fingerprints is verified in the bucket over their first 128 bits.  Links by chance join many of the components that this
+makes, the more the larger the table is, so ``whole_links`` compares the fingerprints of a component by all their bits.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ WIDE, FEW = 12, 40
 #: Bits in which wide fingerprints may differ, in one segment and in the first 128.  Sets of similarity 0.8 differ in 15 %
 #: of the bits, so all segments miss a pair once in 20,000; unrelated ones differ in half the bits.
 BALL, WHOLE = 2, 40
+#: One in so many of all common bits may differ.  Pairs of similarity 0.8 differ in 12 of 64 at most on average (sizes 4 and 5;
+#: over 40 shingles in 10), so that a quarter is 6 deviations (7) away.  Fingerprints in a chunk of a component.
+QUARTER, CHUNK = 4, 32_768
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, 2 * WIDE, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 64, 2 * WIDE, dtype=np.uint64) | np.uint64(1)
@@ -171,6 +175,60 @@ def wide_links(sets: DataFrame) -> DataFrame:
     return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linked, "src long, dst long").distinct()
 
 
+def whole_classes(fps: list[np.ndarray]) -> np.ndarray:
+    """A label a wide fingerprint: near ones, by WHOLE and QUARTER, have the same, directly or over others."""
+    n = len(fps)
+    words = np.array([len(fp) for fp in fps])
+    bits = np.zeros((n, 2 * WIDE), np.uint64)
+    for size in np.unique(words).tolist():
+        at = np.flatnonzero(words == size)
+        bits[at, :size] = np.stack([fps[i] for i in at.tolist()])
+    a, b = bits[:, 0].copy(), bits[:, 1].copy()
+    label = np.arange(n)
+    for i in range(n - 1):
+        near = np.bitwise_count(a[i + 1 :] ^ a[i]) + np.bitwise_count(b[i + 1 :] ^ b[i]) <= WHOLE
+        at = np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1
+        for lo in range(0, len(at), 4096):
+            some = at[lo : lo + 4096]
+            common = np.minimum(words[some], words[i])
+            differ = np.bitwise_count(bits[some] ^ bits[i]) * (np.arange(2 * WIDE) < common[:, None])
+            found = np.unique(label[some[differ.sum(1, dtype=np.int64) * QUARTER <= 64 * common]])
+            if len(found):
+                label[np.isin(label, found)] = label[i]
+    return label
+
+
+def stars(names: list[int], label: list[int]) -> pa.Table:
+    """(src, dst) from the least name of each label to its others."""
+    least: dict[int, int] = {}
+    for name, k in zip(names, label, strict=True):
+        least[k] = min(name, least.get(k, name))
+    tied = [(least[k], name) for name, k in zip(names, label, strict=True) if least[k] != name]
+    return pa.table({"src": pa.array([a for a, _ in tied], pa.int64()), "dst": pa.array([b for _, b in tied], pa.int64())})
+
+
+def _whole(part: pa.Table) -> pa.Table:
+    fps = [np.array(fp, np.int64).view(np.uint64) for fp in part.column("fp").to_pylist()]
+    return stars(part.column("name").to_pylist(), whole_classes(fps).tolist())
+
+
+def pairs_of_chunks(members: DataFrame, blocks: DataFrame, chunk: int) -> DataFrame:
+    """Rows of ``members(name, ...)`` that are in ``blocks(node, root)``, once for each two chunks (root, one, two) they are in.
+
+    A block of more than ``chunk`` rows is cut into chunks of about that size; any two of its rows share a pair of chunks.
+    """
+    chunks = blocks.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = blocks.join(chunks, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    found = members.join(dealt, F.col("name") == F.col("node")).select("root", "mine", other, *members.columns)
+    return found.select("root", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), *members.columns)
+
+
+def whole_links(sets: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(src, dst) that connect, inside each of ``blocks(node, root)``, all rows of ``sets(name, fp)`` that ``whole_classes`` finds near."""
+    return pairs_of_chunks(sets, blocks, chunk).groupBy("root", "one", "two").applyInArrow(_whole, "src long, dst long").distinct()
+
+
 def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(class_fp, component_id) for every distinct fp of the written table ``rows(doc_id, fp)``."""
     distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
